@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import bpe, chat, media, mixing, quality_rules, sharding, url_rules
+from loomtally.llm import bpe, chat, media, mixing, ngram_join, quality_rules, sharding, url_rules
 from loomtally.llm.shared import documents
 
 #: Where the public tokenizers' files lie; a parameter of the operator.
@@ -16,6 +16,10 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = media.write_shards(documents(spark, sf_dir).select("doc_id", "text"))
     full = media.fill_metadata(media.read_payloads(refs))
