@@ -27,9 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Distinct pieces that a worker remembers, and characters of text that are encoded together.
+from loomtally.llm import textscan
+
+#: Distinct pieces that a worker remembers, and bytes of text that are encoded together.
 MEMO_PIECES = 400_000
-WINDOW_CHARS = 4 << 20
+WINDOW_BYTES = 2 << 20
 #: Widths in bytes of the tables in which short pieces are merged; longer pieces use lists and a heap.
 SHORT = (4, 8, 12, 16, 24, 40)
 NONE = np.int32(2**31 - 1)
@@ -83,6 +85,24 @@ class ByteLevelBPE:
         self.quick = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
         blank = r"\p{White_Space}"
         self.full = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{blank}\p{{L}}\p{{N}}]+|{blank}+(?=$|{blank})|{blank}+".replace("(?=$|", r"(?=\Z|"))
+        self.first_ids = np.array(self.first, np.int32)
+        self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
+        self.byte_sizes = np.array([len(b) for b in self.bytes])
+        self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
+        self.all_bytes = np.frombuffer(b"".join(self.bytes), np.uint8)
+        width = len(str(size)) + 1
+        self.digits = np.frombuffer(b"".join(f"{i},".encode().ljust(width, b"\0") for i in range(size)), np.uint8).reshape(size, width)
+        self.digit_sizes = (self.digits != 0).sum(axis=1)
+        # Classes of bytes: 1 letters, 2 digits, 3 blanks, 4 others, 5 what only the patterns can cut.
+        self.kinds = np.full(256, 5, np.uint8)
+        self.kinds[33:127] = 4
+        self.kinds[[9, 10, 11, 12, 13, 32]] = 3
+        self.kinds[48:58] = 2
+        self.kinds[[*range(65, 91), *range(97, 123)]] = 1
+        self.kinds_c3, self.kinds_c2 = np.full(256, 1, np.uint8), np.full(256, 4, np.uint8)
+        self.kinds_c3[[0x97, 0xB7]] = 4
+        self.kinds_c2[[0xAA, 0xB5, 0xBA]] = 1
+        self.kinds_c2[[*range(0x80, 0xA1), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE]] = 5
         self.memo: dict[str, tuple[int, ...]] = {}
 
     def pieces(self, text: str) -> list[str]:
@@ -141,13 +161,17 @@ class ByteLevelBPE:
     def _merge_short(self, data: list[bytes], width: int) -> list[tuple[int, ...]]:
         """The index as a table: a row per piece, and in it the rank of the pair at each position. In each wave every piece applies its lowest
         active rank at the first position that has it; then only the entries of the two pairs beside it are looked up again."""
-        n = len(data)
-        if not n:
+        if not data:
             return []
-        flat = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(n, width)
-        size = np.array([len(d) for d in data])
+        flat = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(len(data), width)
+        table = self._merge_table(flat, np.arange(width) < np.array([len(d) for d in data])[:, None])
+        return [tuple(x[:k]) for x, k in zip(table.tolist(), (table >= 0).sum(axis=1).tolist(), strict=True)]
+
+    def _merge_table(self, flat: np.ndarray, inside: np.ndarray) -> np.ndarray:
+        """flat: a row of bytes per piece, where inside. Returns its ids, then -1. Waves as told in _merge_short."""
+        n, width = flat.shape
         sym = np.full((n, width + 2), -1, np.int32)
-        sym[:, 1 : width + 1] = np.where(np.arange(width) < size[:, None], np.array(self.first, np.int32)[flat], -1)
+        sym[:, 1 : width + 1] = np.where(inside, self.first_ids[flat], -1)
         ranks = self._ranks(sym[:, :-1], sym[:, 1:])
         rows, along, out = np.arange(n), np.arange(width + 2), np.full((n, width + 2), -1, np.int32)
         flats = [along + (along > k) for k in range(width + 1)]
@@ -169,8 +193,7 @@ class ByteLevelBPE:
             ranks = ranks[own[:, None], np.minimum(shift[:, :-1], width)]
             ranks[own, at - 1] = self._ranks(sym[own, at - 1], sym[own, at])
             ranks[own, at] = self._ranks(sym[own, at], sym[own, at + 1])
-        length = (out[:, 1:] >= 0).sum(axis=1).tolist()
-        return [tuple(x[:k]) for x, k in zip(out[:, 1:].tolist(), length, strict=True)]
+        return out[:, 1:]
 
     def _merge_long(self, data: list[bytes]) -> list[tuple[int, ...]]:
         """The index as lists: from each pair to all its positions in all pieces, and a heap of the active ranks."""
@@ -259,17 +282,148 @@ class ByteLevelBPE:
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
 
+    def cut_bytes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the pieces begin, for all rows at once, and which rows hold characters or added tokens that need the patterns instead.
+        The rules of the pre-tokenizer on classes of bytes: a run of letters, digits or other characters is a piece, with a space
+        before it; blanks go together but for the last, which is such a space or stands alone; 's and its like are pieces."""
+        n = len(data)
+        kind = self.kinds[data]
+        lead = np.flatnonzero(data >= 0xC0)
+        lead = lead[lead + 1 < n]
+        after = data[lead + 1]
+        sort = np.where(data[lead] == 0xC3, self.kinds_c3[after], np.where(data[lead] == 0xC2, self.kinds_c2[after], 5)).astype(np.uint8)
+        kind[lead] = sort
+        kind[lead + 1] = sort
+        full = bounds[:-1] < bounds[1:]
+        heads = bounds[:-1][full]
+        strange = np.zeros(len(bounds) - 1, bool)
+        odd = np.flatnonzero(kind == 5)
+        strange[np.searchsorted(bounds, odd, "right") - 1] = True
+        text = data.tobytes()
+        for token in self.added:
+            at = text.find(token.encode())
+            while at >= 0:
+                strange[np.searchsorted(bounds, at, "right") - 1] = True
+                at = text.find(token.encode(), at + 1)
+        before = np.empty(n, np.uint8)
+        before[1:] = kind[:-1]
+        if n:
+            before[heads] = 0
+        after_space = np.zeros(n, bool)
+        after_space[1:] = data[:-1] == 32
+        after_space[heads] = False
+        blank = kind == 3
+        begin = (kind != before) & ~(after_space & ~blank)
+        last = np.zeros(n, bool)
+        last[:-1] = blank[:-1] & ~blank[1:]
+        tails = bounds[1:][full] - 1
+        last[tails] = False
+        begin |= last
+        apostrophe = np.flatnonzero((data == 39) & begin)
+        if len(apostrophe):
+            end = bounds[np.searchsorted(bounds, apostrophe, "right")]
+            wide = np.append(data, np.zeros(3, np.uint8))
+            one, two = wide[apostrophe + 1], wide[apostrophe + 2]
+            short = np.isin(one, list(b"stmd")) & (apostrophe + 1 < end)
+            long = ((np.isin(one, list(b"rv")) & (two == 101)) | ((one == 108) & (two == 108))) & (apostrophe + 2 < end)
+            for at, stop, size in ((apostrophe[short], end[short], 2), (apostrophe[long], end[long], 3)):
+                begin[at + 1] = False
+                at, stop = at + size, stop
+                begin[at[(at < stop)]] = True
+        return np.flatnonzero(begin), strange
+
+    def encode_bytes(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows, one after another, and where each row begins."""
+        starts, strange = self.cut_bytes(data, bounds)
+        ends = np.append(starts[1:], len(data))
+        hashes = textscan.hash_words(data, starts, ends)
+        unique, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+        size = ends - starts
+        padded = np.zeros(len(data) + 8, np.uint8)
+        padded[: len(data)] = data
+        eights = np.lib.stride_tricks.as_strided(padded[:8].view("<u8"), (len(data) + 1,), (1,))
+        masks = np.array([0, *((1 << (8 * k)) - 1 for k in range(1, 9))], np.uint64)
+        head = eights[starts] & masks[np.minimum(size, 8)]
+        tail = eights[np.maximum(ends - 8, starts)] & masks[np.minimum(size, 8)]
+        own = first[which]
+        # Pieces of one hash are equal if their lengths, first and last eight bytes are; up to 16 bytes that is all of them.
+        if not ((size == size[own]) & (head == head[own]) & (tail == tail[own])).all():
+            strange[:] = True
+        known = self.known
+        at = np.minimum(np.searchsorted(known[0], unique), max(0, len(known[0]) - 1))
+        new = np.flatnonzero(known[0][at] != unique) if len(known[0]) else np.arange(len(unique))
+        if len(new):
+            if len(known[0]) + len(new) > MEMO_PIECES:
+                known, new = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)), np.arange(len(unique))
+            flat, lengths = self.merge_ranges(data, starts[first[new]], size[first[new]])
+            begins = np.cumsum(lengths) - lengths + len(known[3])
+            order = np.argsort(joined := np.concatenate([known[0], unique[new]]))
+            known = (joined[order], np.concatenate([known[1], begins])[order], np.concatenate([known[2], lengths])[order], np.concatenate([known[3], flat]))
+            self.known = known
+        at = np.searchsorted(known[0], unique)
+        begin, length = known[1][at][which], known[2][at][which]
+        row = np.searchsorted(starts, bounds)
+        total = np.zeros(len(starts) + 1, np.int64)
+        np.cumsum(length, out=total[1:])
+        ids = known[3][spread(begin, length, total)]
+        where = total[row]
+        if strange.any():
+            texts = data.tobytes()
+            parts, sizes = [], np.diff(where)
+            rows = np.flatnonzero(strange)
+            coded = self.encode([texts[bounds[i] : bounds[i + 1]].decode() for i in rows])
+            done = 0
+            for i, c in zip(rows, coded, strict=True):
+                parts += [ids[where[done] : where[i]], np.array(c, np.int32)]
+                sizes[i], done = len(c), i + 1
+            ids = np.concatenate([*parts, ids[where[done] :]])
+            where = np.concatenate(([0], np.cumsum(sizes)))
+        return ids, where
+
+    def merge_ranges(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the byte ranges, one after another, and how many each has."""
+        lengths, tables, low = np.zeros(len(starts), np.int64), [], 0
+        for high in SHORT:
+            at = np.flatnonzero((size > low) & (size <= high))
+            if len(at):
+                along = np.arange(high)
+                inside = along < size[at, None]
+                table = self._merge_table(data[np.minimum(starts[at, None] + along, len(data) - 1)], inside)
+                lengths[at] = (table >= 0).sum(axis=1)
+                tables.append((at, table))
+            low = high
+        at = np.flatnonzero(size > low)
+        long = self._merge_long([data[starts[i] : starts[i] + size[i]].tobytes() for i in at])
+        lengths[at] = [len(x) for x in long]
+        begin = np.cumsum(lengths) - lengths
+        out = np.zeros(int(lengths.sum()), np.int32)
+        for rows, table in tables:
+            there = table >= 0
+            out[(begin[rows, None] + np.arange(table.shape[1]))[there]] = table[there]
+        for i, ids in zip(at, long, strict=True):
+            out[begin[i] : begin[i] + len(ids)] = ids
+        return out, lengths
+
+    def decode_bytes(self, ids: np.ndarray, where: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of all rows of ids, one after another, and where each row begins."""
+        length = self.byte_sizes[ids]
+        total = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(length, out=total[1:])
+        return self.all_bytes[spread(self.byte_starts[ids], length, total)].tobytes(), total[where]
+
+    def joined(self, ids: np.ndarray, where: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """Decimal ids, each with a comma after it, and where each row begins."""
+        width = self.digits.shape[1]
+        flat = self.digits[ids].ravel()
+        count = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(self.digit_sizes[ids], out=count[1:])
+        assert width
+        return flat[flat != 0].tobytes(), count[where]
+
 
-def _windows(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of rows with about WINDOW_CHARS characters each."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= WINDOW_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def spread(begin: np.ndarray, length: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Indices begin[k] .. begin[k] + length[k] - 1 for all k in a row. total: the sums of length, from 0."""
+    return np.repeat(begin - total[:-1], length) + np.arange(total[-1])
 
 
 def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", digests: bool = False) -> DataFrame:
@@ -286,18 +440,26 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", digests: bo
         gc.disable()  # millions of live tuples, none of them in a cycle
         model = ByteLevelBPE(spec.value)
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(own)).to_pylist()]
-            for a, b in _windows(texts):
-                encoded = model.encode(texts[a:b])
-                decoded = [model.decode(ids) for ids in encoded]
+            for a, b, data, bounds in textscan.windows(batch.column(len(own)), WINDOW_BYTES):
+                ids, where = model.encode_bytes(data, bounds)
+                decoded, begin = model.decode_bytes(ids, where)
+                rows = range(b - a)
+                # Bytes that aren't UTF-8 are read as the replacement character, as in the vocabulary's own decoder.
+                try:
+                    decoded.decode()
+                    texts = [decoded[begin[i] : begin[i + 1]] for i in rows]
+                except UnicodeDecodeError:
+                    texts = [decoded[begin[i] : begin[i + 1]].decode("utf-8", "replace").encode() for i in rows]
                 if digests:
+                    text, at = model.joined(ids, where)
                     extra = [
-                        pa.array([len(ids) for ids in encoded], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(map(model.names.__getitem__, ids)).encode()).hexdigest() for ids in encoded], pa.string()),
-                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in decoded], pa.string()),
+                        pa.array(np.diff(where), pa.int64()),
+                        pa.array([hashlib.sha256(text[at[i] : max(at[i], at[i + 1] - 1)]).hexdigest() for i in rows], pa.string()),
+                        pa.array([hashlib.sha256(t).hexdigest() for t in texts], pa.string()),
                     ]
                 else:
-                    extra = [pa.array(encoded, pa.list_(pa.int32())), pa.array(decoded, pa.string())]
+                    lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids, pa.int32()))
+                    extra = [lists, pa.array([t.decode() for t in texts], pa.string())]
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(own))], *extra], schema.names)
 

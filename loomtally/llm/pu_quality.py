@@ -142,7 +142,7 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
         dh = d[:, None] * p[2] * (1 - h * h)
         return [z.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
 
-    size = 4096
+    size = 800  # small products, which the linear algebra library does not spread over threads
     for step in range(1, steps + 1):
         xp = zp[rnd.integers(0, len(zp), min(size, len(zp)))]
         xu = zu[rnd.integers(0, len(zu), min(size, len(zu)))]

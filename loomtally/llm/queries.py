@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomtally.llm import bpe, chat, media, mixing, ngram_join, quality_rules, sharding, url_rules
+from loomtally.llm import bpe, chat, lm_score, media, mixing, ngram_join, pu_quality, quality_rules, sharding, url_rules
 from loomtally.llm.shared import documents
 
 #: Where the public tokenizers' files lie; a parameter of the operator.
@@ -20,6 +20,11 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
 
 
+def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return pu_quality.score_quality(documents(spark, sf_dir).select("doc_id", "text"), labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = media.write_shards(documents(spark, sf_dir).select("doc_id", "text"))
     full = media.fill_metadata(media.read_payloads(refs))
@@ -67,6 +72,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "n_upper", "n_shouts", "fail_bits")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score_texts(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY, digests=True)
 
