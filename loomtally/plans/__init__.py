@@ -1 +1 @@
-
+"""Whole queries."""

@@ -1 +1 @@
-
+"""Sources of files, vocabularies and options."""
