@@ -95,10 +95,14 @@ def marked_text(text: Column, syntax: Syntax) -> Column:
     return F.array_join(F.transform(lexemes, lambda x: F.when(x.rlike(string), _marked(x, STRING)).when(x.rlike(comment), _marked(x, COMMENT)).otherwise(x)), "")
 
 
-def line_array(marked: Column) -> Column:
-    """Lines of a text: split at newlines, without the empty segment after a final one; an empty text has none."""
-    body = F.regexp_replace(marked, r"\n\z", "")
-    return F.when(marked == "", F.array().cast("array<string>")).otherwise(F.split(body, "\n", -1))
+def without_last_newline(text: Column) -> Column:
+    """A final newline begins no line; it is taken away before strings and comments are marked, as it may stand in one."""
+    return F.when(F.endswith(text, F.lit("\n")), F.substring(text, F.lit(1), F.length(text) - 1)).otherwise(text)
+
+
+def line_array(text: Column, marked: Column) -> Column:
+    """Lines of a text, split at newlines; an empty text has none."""
+    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(marked, "\n", -1))
 
 
 def classify(lines: Column) -> Column:
@@ -117,7 +121,7 @@ def _deep(text: Column, syntax: Syntax) -> Column:
 
 def line_stats(text: Column, syntax: Syntax) -> Column:
     """A struct of lines, blanks, comments and code of each text under one syntax; null for a null text."""
-    native = classify(line_array(marked_text(text, syntax)))
+    native = classify(line_array(text, marked_text(without_last_newline(text), syntax)))
     if not syntax.nestable:
         return F.when(text.isNotNull(), native)
     deep = _deep(text, syntax)

@@ -19,7 +19,7 @@ def registry_frame(spark: SparkSession) -> DataFrame:
 
 def lookup_frame(spark: SparkSession, keys: str) -> DataFrame:
     """(key, lang_id) of `exts` or `filenames`, lower-cased; the first language has a key that several claim."""
-    exploded = registry_frame(spark).select(F.lower(F.explode(keys)).alias("key"), "lang_id")
+    exploded = registry_frame(spark).select(F.explode(keys).alias("key"), "lang_id").withColumn("key", F.lower("key"))
     return exploded.groupBy("key").agg(F.min("lang_id").alias("lang_id"))
 
 

@@ -83,16 +83,21 @@ def marks_sql(text: str, lexemes: str, strings: str | None, comments: str | None
     """A text with its strings and comments replaced by marks; lexemes, strings and comments are RE2 patterns."""
     mark = lambda c: f"(chr({c}) || replace(regexp_replace(x, '[^\\n]+', '', 'g'), chr(10), chr(10) || chr({c})))"
     cases = (f"when regexp_matches(x, '{strings}') then {mark(2)} " if strings else "") + (f"when regexp_matches(x, '{comments}') then {mark(1)} " if comments else "")
-    return f"coalesce(array_to_string(list_transform(regexp_extract_all({text}, '{lexemes}'), lambda x: case {cases} else x end), ''), '')"
+    body = last_newline_sql(text)
+    return f"case when {text} <> '' then coalesce(array_to_string(list_transform(regexp_extract_all({body}, '{lexemes}'), lambda x: case {cases} else x end), ''), '') end"
+
+
+def last_newline_sql(text: str) -> str:
+    return f"(case when {text} like '%' || chr(10) then left({text}, length({text}) - 1) else {text} end)"
 
 
 def stats_sql(inner: str, carry: str) -> str:
-    """lines, blanks, comments and code over a relation with carry columns and m, the marked text."""
+    """lines, blanks, comments and code over a relation with carry columns and m, the marked text (null for an empty one)."""
     return f"""
   select {carry}, cast(len(ls) as bigint) as lines, cast(len(list_filter(ls, lambda x: not regexp_matches(x, '[^ \\t\\n\\f\\r]'))) as bigint) as blanks,
     cast(len(list_filter(ls, lambda x: regexp_matches(x, '[^ \\t\\n\\f\\r]') and not regexp_matches(x, '[^\\x01 \\t\\n\\f\\r]'))) as bigint) as comments,
     cast(len(list_filter(ls, lambda x: regexp_matches(x, '[^\\x01 \\t\\n\\f\\r]'))) as bigint) as code
-  from (select *, case when m = '' then [] else string_split(case when m like '%' || chr(10) then left(m, length(m) - 1) else m end, chr(10)) end as ls from ({inner}))"""
+  from (select *, case when m is null then [] else string_split(m, chr(10)) end as ls from ({inner}))"""
 
 
 _DQ, _SQ = r'"[^"\\\n]*(?:\\[^\n][^"\\\n]*)*["\\]?', r"''[^''\\\n]*(?:\\[^\n][^''\\\n]*)*[''\\]?"
@@ -340,7 +345,7 @@ def oracle_sql() -> dict[str, str]:
     rolled = lambda inner, label: (
         f"select case when grouping({label}) = 1 then 'Total' else {label} end as lang, cast(grouping({label}) as int) as is_total, count(*) as files, {total} from ({inner}) group by rollup({label})"
     )
-    out["line_stats_markdown"] = rolled(stats_sql(f"select lang, {tokens_sql('text')} as tokens, text as m from documents", "lang, tokens"), "lang")
+    out["line_stats_markdown"] = rolled(stats_sql(f"select lang, {tokens_sql('text')} as tokens, case when text <> '' then {last_newline_sql('text')} end as m from documents", "lang, tokens"), "lang")
     out["line_stats_html"] = stats_sql(f"select page_id, {marks_sql('html', *_LEXEMES['html'])} as m from pages", "page_id")
     named = {"py": "python", "rs": "rust"}
     for e in HEADS:
@@ -352,7 +357,7 @@ def oracle_sql() -> dict[str, str]:
     make = (rf"{_DQ}|{_SQ}|#[^\n]*|" + r'[^"' + r"''#\n]+|" + _ANY, r"""^["'']""", "^#")
     branches = " ".join(f"when '{NAMES[e]}' then {marks_sql('text', *_LEXEMES[e])}" for e in HEADS) + f" when 'Makefile' then {marks_sql('text', *make)}"
     kept = f"select * from ({detected}) where lang_id is not null and lang_id not in ({_ids(list(DEFAULTS.ignore_langs))}) and coalesce(ext not in ('svg', 'lock', 'map'), true) and {_dirs_sql()} and not contains(left(text, 8192), chr(0))"
-    out["lang_report"] = rolled(stats_sql(f"select label, {tokens_sql('text')} as tokens, case lang {branches} else text end as m from ({kept})", "label, tokens"), "label")
+    out["lang_report"] = rolled(stats_sql(f"select label, {tokens_sql('text')} as tokens, case lang {branches} else {last_newline_sql('text')} end as m from ({kept})", "label, tokens"), "label")
     out["ignore_lang"] = f"select doc_id, path from ({detected}) where coalesce(lang_id not in ({_ids(['py', 'Lua', 'svg', 'zzz'])}), true) and coalesce(ext not in ('py', 'Lua', 'svg', 'zzz'), true)"
     owners = ", ".join(str(lang.id) for lang in LANGUAGES if {"py", "mk", "zzz"} & {x.lower() for x in lang.exts})
     out["only_ext"] = f"select doc_id, path from ({detected}) where case when ext is not null then ext in ('py', 'mk', 'zzz') else coalesce(lang_id in ({owners}), false) end"
