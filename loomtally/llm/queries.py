@@ -17,7 +17,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text"))
+    return ngram_join.jaccard_components(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "copies")
 
 
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
