@@ -33,7 +33,7 @@ PROBES = 6
 LEVELS = 40
 MU = 1000.0
 FRAGMENT_BYTES = 16 << 20
-WINDOW_BYTES = 8 << 20
+WINDOW_BYTES = 4 << 20
 END = np.uint64(0x0E4D)
 
 
