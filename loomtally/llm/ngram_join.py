@@ -12,12 +12,13 @@ collisions of 64-bit shingle hashes.
    floor(n / 4) + 1 shingles in the order. Class 0 (in one set only) can't be shared: a set with more than floor(n / 4) of those links
    to nothing and leaves.
 4. Verification. A candidate pair's overlap is counted fragment by fragment on vertical cuts of the two sets and summed per pair.
-5. Candidates in two rounds. First each prefix shingle's list is tied to one pivot: a pair a row, so a group of thousands of
-   copies costs a row each. Links found give components. Then lists whose members are in several components give the pairs across them
-   that pass the length and position bounds, and nothing else: within a component no further link can change a result.
-   Every pair that could link is thus either inside a component or verified.
+5. Candidates in rounds. In each, the list of a prefix shingle ties its members to a few pivots, others in each round: a few pairs a row, so a
+   group of thousands of copies costs a few rows each. Links found give components, and only lists whose members are in several of them
+   go on. Once the pairs across components are no more than a few per list row, or after ROUNDS rounds, all of those that pass the
+   length and position bounds are verified: within a component no further link can change a result. Every pair that could
+   link is thus either inside a component or verified.
 
-Defined results: null and empty texts, and texts without words, have an empty set, n_shingles 0, links 0 and their own doc_id as
+Defined results: null and empty texts, and texts without words, have an empty set, n_shingles 0, verified_links 0 and their own doc_id as
 component; equal texts and repeated rows share a component, whose id is the smallest doc_id; rows with a null doc_id are kept, and
 null is an id only if no other is there; texts with fewer than five words are one shingle; very long texts are one window of
 their own; an empty table gives an empty result; extra columns are not carried.
@@ -34,10 +35,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtally.llm import textscan
-from loomtally.llm.shared import release, written
+from loomtally.llm.shared import BROADCAST_ROWS, release, written
 
 WIDTH = 5
-WINDOW_BYTES = 16 << 20
+WINDOW_BYTES = 8 << 20
+#: Rounds of pivots at most, before the pairs that are left are all verified.
+ROUNDS = 3
+#: Pivots of a list in each round.
+PIVOTS = 3
 #: Vertical cuts of a set for counting overlaps.
 CUTS = 4
 
@@ -152,6 +157,7 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
         return pa.table(
             {
                 "doc_id": docs["doc_id"].cast(pa.int64()),
+                "win": pa.array(np.full(len(n), key[0].as_py(), np.int32)),
                 "n": pa.array(n, pa.int64()),
                 "fp": pa.array(prints.view(np.int64)),
                 "hashes": pa.array(out_hashes, pa.binary()),
@@ -163,17 +169,18 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     sent = dealt.groupBy("win").applyInArrow(to_fragments, "frag int, win int, low binary, counts binary")
     answers = sent.groupBy("frag").applyInArrow(answer, "win int, frag int, classes binary")
     both = dealt.groupBy("win").cogroup(answers.groupBy("win"))
-    table = both.applyInArrow(prefixes, "doc_id long, n long, fp long, hashes binary, prefix array<long>, places array<int>")
-    out = written(table, "shingles")
-    release(spark)
-    return out
+    table = both.applyInArrow(prefixes, "doc_id long, win int, n long, fp long, hashes binary, prefix array<long>, places array<int>")
+    return written(table, "shingles")
 
 
 def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: a, b. Returns those with 100 * intersection >= 75 * union, the intersection summed over the vertical cuts."""
-    left = sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), F.col("cut"), F.col("part").alias("pa"))
-    right = sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), F.col("cut"), F.col("part").alias("pb"))
-    both = pairs.join(left, "a").join(right, ["b", "cut"]).select("a", "b", "na", "nb", "pa", "pb")
+    """pairs: a, b, written. Returns those with 100 * intersection >= 75 * union, the intersection summed over the vertical cuts. Pairs are
+    broadcast to the sets when they are few enough, else both are shuffled by set."""
+    few = pairs.count() <= BROADCAST_ROWS
+    own = F.broadcast(pairs) if few else pairs
+    left = own.join(sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), "cut", F.col("part").alias("pa")), "a")
+    right = own.join(sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "cut", F.col("part").alias("pb")), "b")
+    both = left.join(right, ["a", "b", "cut"]).select("a", "b", "na", "nb", "pa", "pb")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -193,57 +200,66 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _components(links: DataFrame, spark) -> DataFrame:
-    """links: a, b. Returns fp, comp: the smallest fp that is reachable, by alternating large and small stars."""
+    """links: a, b. Returns fp, comp: the smallest fp that is reachable, by alternating large and small stars. Few enough edges are kept in one
+    partition, where no step needs a shuffle; more are dealt over all tasks."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "edges")
+    few = edges.count() <= BROADCAST_ROWS
+    dealt = lambda df: df.coalesce(1) if few else df
     while True:
         # Large star: the larger neighbours of each node are tied to its smallest neighbour, itself included.
-        both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        old = dealt(edges)
+        both = dealt(old.unionByName(old.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # Small star: the smaller neighbours of each node, and itself, are tied to the smallest.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        new = written(small, "edges")
-        changed = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
+        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionByName(least.select("u", F.col("m").alias("v")))
+        new = written(dealt(small).distinct(), "edges")
+        # Equal numbers of edges and equal sums of their hashes: nothing changed.
+        told = [dealt(x).agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first() for x in (edges, new)]
         edges = new
-        if changed:
+        if told[0] == told[1]:
             break
-    return edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("fp"), F.col("v").alias("comp"))
+    found = dealt(edges).groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("fp"), F.col("v").alias("comp"))
+    return found.unionByName(found.select(F.col("comp").alias("fp"), "comp").distinct())
 
 
 def jaccard_components(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id, links (verified links of its set to other sets, those that were needed) and copies (rows with its set)."""
+    """doc_id, n_shingles, component_id, verified_links (links of its set to other sets that were verified; those inside a component need
+    not be) and copies (rows with its set)."""
     spark = df.sparkSession
     table = shingle_table(df, text, width)
-    reps = table.where("hashes is not null").groupBy("fp").agg(F.first("n").alias("n"), F.first(F.struct("hashes", "prefix", "places")).alias("s"))
-    zipped = F.explode(F.arrays_zip("s.prefix", "s.places")).alias("z")
-    lists = reps.select("fp", "n", zipped).select(F.col("z.prefix").alias("h"), "fp", "n", F.col("z.places").alias("i"))
-    lists = written(lists, "lists")
-    sets = reps.select("fp", "n", F.col("s.hashes").alias("hashes"))
-    sets = written(sets.mapInArrow(_cut_sets, "fp long, n long, cut int, part binary"), "sets")
-
-    # Round 1: the pivot of a list is its member with the lowest mixed fingerprint, the same in most lists of a group.
-    pivot = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("fp").alias("x"), "fp", "n")).alias("p"), F.count("*").alias("k")).where("k > 1")
-    near = (F.col("n") * 4 >= F.col("p.n") * 3) & (F.col("p.n") * 4 >= F.col("n") * 3)
-    stars = lists.join(pivot, "h").where((F.col("fp") != F.col("p.fp")) & near)
-    stars = stars.select(F.least("fp", "p.fp").alias("a"), F.greatest("fp", "p.fp").alias("b")).distinct()
-    found = written(_overlaps(stars, sets), "links")
-    comps = written(_components(found, spark), "comps")
     release(spark)
-
-    # Round 2: lists with several components, pairs across them only.
-    placed = lists.join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    mixed = placed.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("h")
-    placed = written(placed.join(mixed, "h", "left_semi"), "mixed")
-    other = placed.select("h", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("comp").alias("comp2"))
-    least = F.ceil((F.col("n") + F.col("n2")) * 3 / 7)
-    bound = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2"))
-    across = placed.join(other, "h").where((F.col("comp") != F.col("comp2")) & (F.col("fp") < F.col("fp2")) & (bound >= least))
-    across = across.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    more = written(_overlaps(across, sets), "links")
-    links = found.unionByName(more)
-    if not more.isEmpty():
-        comps = written(_components(links, spark), "comps")
+    reps = _one_row_each(table.where("hashes is not null"))
+    zipped = reps.select("fp", "n", F.explode(F.arrays_zip("prefix", "places")).alias("z"))
+    lists = written(zipped.select(F.col("z.prefix").alias("h"), "fp", "n", F.col("z.places").alias("i")), "lists")
+    sets = written(reps.select("fp", "n", "hashes").mapInArrow(_cut_sets, "fp long, n long, cut int, part binary"), "sets")
+    comps = links = tested = None
+    placed = lists.withColumn("comp", F.col("fp"))
+    for round_ in range(ROUNDS + 1):
+        # Lists with several components: their members, and how many pairs they have across components.
+        per = placed.groupBy("h", "comp").agg(F.count("*").alias("k"))
+        per = per.groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("c")).where("c > 1")
+        load = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
+        if not load[0]:
+            break
+        placed = written(placed.join(per.select("h"), "h", "left_semi"), "mixed")
+        last = round_ == ROUNDS or load[1] <= 4 * load[0]
+        pairs = _across(placed) if last else _stars(placed, round_)
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = written(pairs, "pairs")
+        found = written(_overlaps(pairs, sets), "links")
+        if not found.isEmpty():
+            links = found if links is None else links.unionByName(found)
+            comps = _merged(comps, found, spark)
+            placed = placed.drop("comp").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        if last:
+            break
+        tested = pairs if tested is None else tested.unionByName(pairs)
+        release(spark)
+    if comps is None:
+        comps, links = spark.createDataFrame([], "fp long, comp long"), spark.createDataFrame([], "a long, b long")
 
     # Results: the smallest doc_id of each set, then of each component.
     own = table.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
@@ -258,11 +274,55 @@ def jaccard_components(df: DataFrame, text: str = "text", width: int = WIDTH) ->
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
-        F.coalesce("links", F.lit(0)).cast("long").alias("links"),
+        F.coalesce("links", F.lit(0)).cast("long").alias("verified_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
     )
 
 
+def _one_row_each(rows: DataFrame) -> DataFrame:
+    """rows with one row for each fp, that of its first window. The others, copies in further windows, are few as a rule and then broadcast."""
+    first = rows.groupBy("fp").agg(F.min("win").alias("_w"), F.count("*").alias("_c")).where("_c > 1").select("fp", "_w")
+    extra = written(rows.select("fp", "win").join(first, "fp").where("win <> _w").select("fp", "win"), "extra")
+    return rows.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra, ["fp", "win"], "left_anti")
+
+
+def _bounded(n: str, i: str, n2: str, i2: str):
+    """Whether sets of n and n2 shingles that share the shingle at the places i and i2, and none before, can have 3/4 in common."""
+    return F.least(F.col(n) - F.col(i), F.col(n2) - F.col(i2)) >= F.ceil((F.col(n) + F.col(n2)) * 3 / 7)
+
+
+def _stars(placed: DataFrame, seed: int) -> DataFrame:
+    """Each member of a list with the list's pivots that are in other components: the members of lowest seeded hashes, which are the
+    same in most lists of a group. At most PIVOTS pairs a member."""
+    lowest = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * seed + k), "fp").alias("x"), "fp", "n", "comp")) for k in range(PIVOTS)]
+    pivot = placed.groupBy("h").agg(F.array(*lowest).alias("ps")).select("h", F.explode("ps").alias("p"))
+    pivot = pivot.select("h", F.col("p.fp").alias("fp2"), F.col("p.n").alias("n2"), F.col("p.comp").alias("comp2"))
+    # A pair that links passes the bound at its first common shingle; any other list may propose it too, so only lengths are looked at.
+    near = (F.col("n") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n") * 3)
+    stars = placed.join(pivot, "h").where((F.col("comp") != F.col("comp2")) & near)
+    return stars.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
+
+
+def _across(placed: DataFrame) -> DataFrame:
+    """All pairs of a list's members that are in different components and pass the bounds."""
+    other = placed.select("h", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("comp").alias("comp2"))
+    pairs = placed.join(other, "h").where((F.col("comp") != F.col("comp2")) & (F.col("fp") < F.col("fp2")) & _bounded("n", "i", "n2", "i2"))
+    return pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
+
+
+def _merged(comps: DataFrame | None, found: DataFrame, spark) -> DataFrame:
+    """Components after further links: those of the graph of components that the links tie together."""
+    if comps is None:
+        return written(_components(found, spark), "comps")
+    of = lambda c: comps.select(F.col("fp").alias(c), F.col("comp").alias(f"_{c}"))
+    tied = found.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b")).distinct()
+    up = written(_components(tied, spark), "merged").select(F.col("fp").alias("comp"), F.col("comp").alias("_to"))
+    moved = comps.join(up, "comp", "left").select("fp", F.coalesce("_to", "comp").alias("comp"))
+    # Sets that were in no component are their own node of that graph.
+    new = up.join(comps.select(F.col("fp").alias("comp")), "comp", "left_anti").select(F.col("comp").alias("fp"), F.col("_to").alias("comp"))
+    return written(moved.unionByName(new), "comps")
+
+
 def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Cuts each set at fixed places of the hash range."""
     edges = (np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS)).astype(np.uint64)
@@ -281,8 +341,9 @@ def keep_one(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame
     """df with one document of each component, that with the smallest doc_id. Columns as in df. Repeated rows of it are reduced to one;
     rows with a null doc_id stay, as nothing tells them apart; so do rows of one doc_id whose texts differ."""
     judged = jaccard_components(df, text, width)
-    gone = judged.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = df.join(gone, "doc_id", "left_anti")
+    gone = written(judged.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    # Few enough ids are broadcast; else the texts are shuffled once.
+    kept = df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
     doubles = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if doubles.isEmpty():
         return kept
