@@ -11,12 +11,14 @@ collisions of 64-bit shingle hashes.
 3. Prefixes. A set of n shingles needs 3/4 of them in common with any partner, so two linked sets share one of their first
    floor(n / 4) + 1 shingles in the order. Class 0 (in one set only) can't be shared: a set with more than floor(n / 4) of those links
    to nothing and leaves.
-4. Verification. A candidate pair's overlap is counted fragment by fragment on vertical cuts of the two sets and summed per pair.
+4. Verification. A candidate pair's overlap is counted fragment by fragment and summed per pair. The prefixes come first: of two sets, the one
+   whose prefix ends first in the order has no common shingle there that the other's prefix lacks, so what the prefixes share and
+   the longer rest bound the overlap. Pairs that pass are counted on vertical cuts of the two sets.
 5. Candidates in rounds. In each, the list of a prefix shingle ties its members to a few pivots, others in each round: a few pairs a row, so a
    group of thousands of copies costs a few rows each. Links found give components, and only lists whose members are in several of them
-   go on. Once the pairs across components are no more than a few per list row, or after ROUNDS rounds, all of those that pass the
-   length and position bounds are verified: within a component no further link can change a result. Every pair that could
-   link is thus either inside a component or verified.
+   go on. Once the pairs across components are no more than a few per list row, or a round has not halved them, or after ROUNDS
+   rounds, all of those that pass the length and position bounds are verified: within a component no further link can change a
+   result. Every pair that could link is thus either inside a component or verified.
 
 Defined results: null and empty texts, and texts without words, have an empty set, n_shingles 0, verified_links 0 and their own doc_id as
 component; equal texts and repeated rows share a component, whose id is the smallest doc_id; rows with a null doc_id are kept, and
@@ -39,7 +41,7 @@ from loomtally.llm.shared import BROADCAST_ROWS, release, written
 
 WIDTH = 5
 WINDOW_BYTES = 8 << 20
-#: Rounds of pivots at most, before the pairs that are left are all verified.
+#: Rounds of pivots, one at least and so many at most, before the pairs that are left are all verified.
 ROUNDS = 3
 #: Pivots of a list in each round.
 PIVOTS = 3
@@ -173,13 +175,13 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     return written(table, "shingles")
 
 
-def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: a, b, written. Returns those with 100 * intersection >= 75 * union, the intersection summed over the vertical cuts. Pairs are
-    broadcast to the sets when they are few enough, else both are shuffled by set."""
+def _counted(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+    """pairs: a, b; parts: fp, n, cut, part. Adds na, nb and common, the number of shingles that the two sets share in parts, summed over the
+    cuts. Pairs are broadcast to the parts when they are few enough, else both are shuffled by set."""
     few = pairs.count() <= BROADCAST_ROWS
     own = F.broadcast(pairs) if few else pairs
-    left = own.join(sets.select(F.col("fp").alias("a"), F.col("n").alias("na"), "cut", F.col("part").alias("pa")), "a")
-    right = own.join(sets.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "cut", F.col("part").alias("pb")), "b")
+    left = own.join(parts.select(F.col("fp").alias("a"), F.col("n").alias("na"), "cut", F.col("part").alias("pa")), "a")
+    right = own.join(parts.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "cut", F.col("part").alias("pb")), "b")
     both = left.join(right, ["a", "b", "cut"]).select("a", "b", "na", "nb", "pa", "pb")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -195,8 +197,15 @@ def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(got)], ["a", "b", "na", "nb", "common"])
 
     partial = both.mapInArrow(count, "a long, b long, na long, nb long, common long")
-    total = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-    return total.where("100 * common >= 75 * (na + nb - common)").select("a", "b")
+    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+
+
+def _overlaps(pairs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs: a, b, written. Returns those with 100 * intersection >= 75 * union."""
+    # After a prefix of floor(n / 4) + 1 shingles, n - floor(n / 4) - 1 are left; an overlap o links when 175 * o >= 75 * (na + nb).
+    rest = F.expr("greatest(na - na div 4, nb - nb div 4) - 1")
+    near = written(_counted(pairs, heads).where(175 * (F.col("common") + rest) >= 75 * (F.col("na") + F.col("nb"))).select("a", "b"), "near")
+    return _counted(near, sets).where("100 * common >= 75 * (na + nb - common)").select("a", "b")
 
 
 def _components(links: DataFrame, spark) -> DataFrame:
@@ -234,7 +243,8 @@ def jaccard_components(df: DataFrame, text: str = "text", width: int = WIDTH) ->
     zipped = reps.select("fp", "n", F.explode(F.arrays_zip("prefix", "places")).alias("z"))
     lists = written(zipped.select(F.col("z.prefix").alias("h"), "fp", "n", F.col("z.places").alias("i")), "lists")
     sets = written(reps.select("fp", "n", "hashes").mapInArrow(_cut_sets, "fp long, n long, cut int, part binary"), "sets")
-    comps = links = tested = None
+    heads = written(reps.select("fp", "n", "prefix").mapInArrow(_heads, "fp long, n long, cut int, part binary"), "heads")
+    comps = links = tested = before = None
     placed = lists.withColumn("comp", F.col("fp"))
     for round_ in range(ROUNDS + 1):
         # Lists with several components: their members, and how many pairs they have across components.
@@ -244,18 +254,20 @@ def jaccard_components(df: DataFrame, text: str = "text", width: int = WIDTH) ->
         if not load[0]:
             break
         placed = written(placed.join(per.select("h"), "h", "left_semi"), "mixed")
-        last = round_ == ROUNDS or load[1] <= 4 * load[0]
+        last = round_ == ROUNDS or round_ > 0 and (load[1] <= 4 * load[0] or 2 * load[1] > before)
+        before = load[1]
         pairs = _across(placed) if last else _stars(placed, round_)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(_overlaps(pairs, sets), "links")
+        found = written(_overlaps(pairs, heads, sets), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comps = _merged(comps, found, spark)
-            placed = placed.drop("comp").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         if last:
             break
+        if comps is not None:
+            placed = written(placed.drop("comp").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "placed")
         tested = pairs if tested is None else tested.unionByName(pairs)
         release(spark)
     if comps is None:
@@ -337,6 +349,14 @@ def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index)), pa.array(cut), pa.array(parts, pa.binary())], ["fp", "n", "cut", "part"])
 
 
+def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each set's prefix as one part, sorted by hash."""
+    for batch in batches:
+        prefixes = batch.column(2)
+        parts = [np.sort(prefixes[i].values.to_numpy().view(np.uint64)).tobytes() for i in range(batch.num_rows)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int32)), pa.array(parts, pa.binary())], ["fp", "n", "cut", "part"])
+
+
 def keep_one(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """df with one document of each component, that with the smallest doc_id. Columns as in df. Repeated rows of it are reduced to one;
     rows with a null doc_id stay, as nothing tells them apart; so do rows of one doc_id whose texts differ."""
