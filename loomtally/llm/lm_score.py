@@ -2,13 +2,13 @@
 
 Counting. Windows of training text send each fragment of the hash range their distinct words and word pairs with counts, so a word of
 every document costs a row per window. A fragment sums them. It keeps its words with exact counts, and builds its own chunk of the
-filter: an n-gram of count c is inserted at the levels 1 .. 1 + floor(log2 c), most frequent n-grams first, until the chunk is
-filled to its design load (all counts down to some cutoff that the fragments' rows report). The filter has FILTER_BITS bits at any size of
-the corpus, and the broadcast table of the most frequent words HEAD entries: both bounds are parameters.
+filter: every n-gram of count c is inserted at the levels 1 .. 1 + floor(log2 c). A chunk is sized from the insertions counted in it, so that
+at most half of its bits are set at any size of the corpus; the filter has FILTER_BITS bits at least. The table of the most frequent words,
+HEAD entries at most, is broadcast; the filter never is.
 
 Scoring. The level at which an n-gram's membership probes first fail gives its quantised count, and
-P(w | u) = (c(u, w) + MU * P(w)) / (c(u) + MU), P(w) = (c(w) + 1) / (N + V + 1). The base score needs exact counts: those of the head
-are looked up where the text is, the others go to their words' fragments, which return sums per document.
+P(w | u) = (c(u, w) + MU * P(w)) / (c(u) + MU), P(w) = (c(w) + 1) / (N + V + 1). A window's distinct pairs, and its words beyond the head, go to
+their fragments, which probe their chunks and look up the exact counts of the base score; the answers come back to the window.
 
 Defined results: a null or empty text is the end token alone; equal texts have equal scores; a null doc_id counts as an empty text in the fold; without training
 rows N and V are 0 and every token has probability 1; an empty table gives an empty result; other columns are not carried. Words are told apart by 64-bit hashes.
@@ -77,25 +77,20 @@ def _levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(LEVELS, 1 + np.floor(np.log2(np.maximum(counts, 1)))).astype(np.int64)
 
 
+def _room(levels: np.ndarray, least: int) -> int:
+    """The bits of a chunk in which the levels set half of the bits, or least if that is more; whole bytes."""
+    return max(64, least, -(-int(np.ceil(levels.sum() * PROBES / np.log(2))) // 8) * 8)
+
+
 def _chunk(low: np.ndarray, counts: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """A chunk's bits, and the lowest count that it holds. At the design load half of its bits are set."""
-    room = int(bits * np.log(2) / PROBES)
+    """A chunk's bits, and the lowest count that it holds: 1, as every n-gram is in."""
     levels = _levels(counts)
-    order = np.argsort(-levels, kind="stable")
-    filled = np.cumsum(levels[order])
-    n = int(np.searchsorted(filled, room, "right"))
-    cutoff = 0
-    if n < len(order):
-        # Whole levels only: a count is in the filter or not, whatever its hash.
-        cutoff = int(levels[order[n]])
-        n = int(np.searchsorted(-levels[order], -cutoff, "left"))
-    keep, own = low[order[:n]], levels[order[:n]]
     out = np.zeros(bits, np.uint8)
-    for level in range(1, int(own.max(initial=0)) + 1):
-        some = keep[own >= level]
+    for level in range(1, int(levels.max(initial=0)) + 1):
+        some = low[levels >= level]
         for a in range(0, len(some), 1 << 18):
             out[_places(some[a : a + (1 << 18)], level, bits).ravel()] = 1
-    return np.packbits(out, bitorder="little"), 1 << max(0, cutoff)
+    return np.packbits(out, bitorder="little"), 1
 
 
 class Filter:
@@ -121,20 +116,30 @@ class Filter:
             out[going] = level
         return out
 
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        """The middle of the counts that share the level; 0 where the first probe fails."""
-        level = self.level(keys)
-        return np.where(level > 0, (2.0 ** (level - 1) + 2.0**level - 1) / 2, 0.0)
 
+def _quantised(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts that share the level; 0 where the first probe fails."""
+    level = level.astype(np.float64)
+    return np.where(level > 0, (2.0 ** (level - 1) + 2.0**level - 1) / 2, 0.0)
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """32-bit numbers, first all lowest bytes and so on: the high ones of small numbers compress to nothing."""
+    return np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes()
+
+
+def _unplanes(x: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(4, -1).T).view("<u4").ravel()
 
-def count_ngrams(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int, int]:
-    """One row per fragment: words and counts (exact), classes (how many words are in each class of counts), tokens, chunk and
-    cutoff. Also the number of fragments and the bits of a chunk."""
+
+def count_ngrams(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int]:
+    """One row per fragment: words and counts (exact), classes (how many words are in each class of counts), tokens, types and the
+    fragment's chunk of the filter. Also the number of fragments."""
     spark = df.sparkSession
     rows = df.select(F.col(text).cast("string").alias("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(4, -(-size // FRAGMENT_BYTES))
-    bits = max(64, filter_bits // fragments // 8 * 8)
+    least = filter_bits // fragments // 8 * 8
     edges = np.arange(fragments + 1, dtype=np.uint64)
 
     def cut(sorted_hashes: np.ndarray) -> np.ndarray:
@@ -162,63 +167,31 @@ def count_ngrams(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BI
         words, n = total(read("words", np.uint64), read("n", np.uint32).astype(np.int64))
         pairs, m = total(read("pairs", np.uint32), read("m", np.uint16).astype(np.int64))
         classes = np.bincount(np.floor(8 * np.log2(np.maximum(n, 1))).astype(np.int64), minlength=512)
+        # A pair seen once in the corpus is not inserted.
+        pairs, m = pairs[m > 1], m[m > 1]
+        low, c = np.concatenate([pairs, _single(words).astype(np.uint32)]), np.concatenate([m, n])
+        chunk, _ = _chunk(low, c, _room(_levels(c), least))
         own = pa.array
         return pa.table({
             "frag": own([key[0].as_py()], pa.int32()), "words": own([words.tobytes()], pa.binary()), "n": own([n.tobytes()], pa.binary()),
             "classes": own([classes.tolist()], pa.list_(pa.int64())), "tokens": own([int(n.sum())], pa.int64()), "types": own([len(words)], pa.int64()),
-            "pairs": own([pairs.tobytes()], pa.binary()), "m": own([np.minimum(m, 2**31 - 1).astype(np.int32).tobytes()], pa.binary()),
+            "chunk": own([chunk.tobytes()], pa.binary()),
         })
 
     sent = rows.mapInArrow(count, "frag int, words binary, n binary, pairs binary, m binary")
-    # Words and pairs have their own keys in the filter: words are sent on to the fragment of theirs.
-    summed = sent.groupBy("frag").applyInArrow(reduce, "frag int, words binary, n binary, classes array<long>, tokens long, types long, pairs binary, m binary")
-    summed = written(summed.mapInArrow(_frequent_pairs, summed.schema), "counts")
+    summed = sent.groupBy("frag").applyInArrow(reduce, "frag int, words binary, n binary, classes array<long>, tokens long, types long, chunk binary")
+    summed = written(summed, "counts")
     release(spark)
-    return summed, fragments, bits
-
-
-def _frequent_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A pair seen once in the corpus has no weight of its own beside MU; it need not be stored."""
-    for batch in batches:
-        pairs, counts = [], []
-        for x, c in zip(batch.column(6), batch.column(7), strict=True):
-            p, m = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(c.as_buffer(), np.int32)
-            pairs.append(p[m > 1].tobytes())
-            counts.append(m[m > 1].tobytes())
-        yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(6)], pa.array(pairs, pa.binary()), pa.array(counts, pa.binary())], batch.schema.names)
+    return summed, fragments
 
 
-def build_filter(counts: DataFrame, fragments: int, bits: int) -> Filter:
-    """Each fragment's chunk from its pairs and from the words whose keys fall in it. The driver gets FILTER_BITS bits in all."""
+def _own_levels(chunk: bytes, keys: np.ndarray) -> np.ndarray:
+    """Levels of keys that fall in the chunk's fragment."""
+    return Filter(np.frombuffer(chunk, np.uint8), 1, 8 * len(chunk)).level(keys).astype(np.uint8)
 
-    def rekey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for words, n in zip(batch.column(0), batch.column(1), strict=True):
-                keys, c = _single(np.frombuffer(words.as_buffer(), np.uint64)), np.frombuffer(n.as_buffer(), np.int64)
-                order = np.argsort(keys)
-                keys, c = keys[order], c[order]
-                some = np.searchsorted(_fragment(keys, fragments), np.arange(fragments + 1, dtype=np.uint64))
-                low, c = keys.astype(np.uint32), np.minimum(c, 2**31 - 1).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(fragments, dtype=np.int32)), *[pa.array([x[some[k] : some[k + 1]].tobytes() for k in range(fragments)], pa.binary()) for x in (low, c)]], ["frag", "pairs", "m"]
-                )
 
-    def chunk(key: tuple, table: pa.Table) -> pa.Table:
-        low = np.concatenate([np.frombuffer(x, np.uint32) for x in table["pairs"].to_pylist()])
-        m = np.concatenate([np.frombuffer(x, np.int32) for x in table["m"].to_pylist()])
-        made, cutoff = _chunk(low, m, bits)
-        return pa.table({"frag": pa.array([key[0].as_py()], pa.int32()), "chunk": pa.array([made.tobytes()], pa.binary()), "cutoff": pa.array([cutoff], pa.int64())})
-
-    singles = counts.select("words", "n").mapInArrow(rekey, "frag int, pairs binary, m binary")
-    chunks = counts.select("frag", "pairs", "m").unionByName(singles).groupBy("frag").applyInArrow(chunk, "frag int, chunk binary, cutoff long").toArrow()
-    out = np.zeros(fragments * bits // 8, np.uint8)
-    for f, c in zip(chunks["frag"].to_pylist(), chunks["chunk"].to_pylist(), strict=True):
-        out[f * bits // 8 : (f + 1) * bits // 8] = np.frombuffer(c, np.uint8)
-    return Filter(out, fragments, bits)
-
-
-def frequent_words(counts: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes and counts of the most frequent words, in whole classes of counts, at most head of them."""
+def frequent_words(counts: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes, counts and levels in the filter of the most frequent words, in whole classes of counts, at most head of them."""
     per = counts.select(F.posexplode("classes").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("c")).orderBy(F.desc("k")).collect()
     least, seen = 512, 0
     for row in per:
@@ -229,105 +202,111 @@ def frequent_words(counts: DataFrame, head: int = HEAD) -> tuple[np.ndarray, np.
 
     def top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for words, n in zip(batch.column(0), batch.column(1), strict=True):
+            for words, n, chunk in zip(*[batch.column(k) for k in range(3)], strict=True):
                 w, c = np.frombuffer(words.as_buffer(), np.uint64), np.frombuffer(n.as_buffer(), np.int64)
                 keep = np.floor(8 * np.log2(np.maximum(c, 1))) >= least
-                yield pa.RecordBatch.from_arrays([pa.array([w[keep].tobytes()], pa.binary()), pa.array([c[keep].tobytes()], pa.binary())], ["words", "n"])
+                levels = _own_levels(chunk.as_py(), _single(w[keep]))
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (w[keep], c[keep], levels)], ["words", "n", "levels"])
 
-    got = counts.select("words", "n").mapInArrow(top, "words binary, n binary").toArrow()
-    words = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(x, np.uint64) for x in got["words"].to_pylist()]])
-    n = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.int64) for x in got["n"].to_pylist()]])
+    got = counts.select("words", "n", "chunk").mapInArrow(top, "words binary, n binary, levels binary").toArrow()
+    words, n, levels = [np.concatenate([np.zeros(0, t), *[np.frombuffer(x, t) for x in got[c].to_pylist()]]) for c, t in (("words", np.uint64), ("n", np.int64), ("levels", np.uint8))]
     order = np.argsort(words)
-    return words[order], n[order]
+    return words[order], n[order], levels[order]
+
+
+def _find(sorted_words: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each word stands among the sorted ones, and whether it does."""
+    if not len(sorted_words):
+        return np.zeros(len(words), np.int64), np.zeros(len(words), bool)
+    place = np.minimum(np.searchsorted(sorted_words, words), len(sorted_words) - 1)
+    return place, sorted_words[place] == words
 
 
 def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", modulus: int = 7, head: int = HEAD, filter_bits: int = FILTER_BITS) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns from the rows that are not held out."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key), modulus).alias("held_out"), F.col(text).cast("string").alias("text"))
-    counts, fragments, bits = count_ngrams(rows.where("not held_out"), "text", filter_bits)
+    counts, fragments = count_ngrams(rows.where("not held_out"), "text", filter_bits)
     facts = counts.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = facts.n or 0, facts.v or 0
-    model = spark.sparkContext.broadcast((build_filter(counts, fragments, bits).chunks, *frequent_words(counts, head)))
+    frequent = spark.sparkContext.broadcast(frequent_words(counts, head))
     whole = float(tokens + types + 1)
+    edges = np.arange(fragments + 1, dtype=np.uint64)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks, words, n = model.value
-        bloom = Filter(chunks, fragments, bits)
+    def window(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, last, data, bounds in textscan.windows(batch.column(2), WINDOW_BYTES):
                 every, at = _tokens(data, bounds)
-                row = np.repeat(np.arange(last - first), np.diff(at))
                 unique, which = np.unique(every, return_inverse=True)
-                place = np.minimum(np.searchsorted(words, unique), max(0, len(words) - 1))
-                hit = words[place] == unique if len(words) else np.zeros(len(unique), bool)
-                exact = np.where(hit, n[place], 0) if len(words) else np.zeros(len(unique), np.int64)
-                c, inside = exact[which], hit[which]
-                base = np.bincount(row, np.where(inside, np.log10((c + 1) / whole), 0.0), last - first)
-                known = np.bincount(row, inside & (c > 0), last - first).astype(np.int64)
-                # The model: quantised counts alone.
-                single = bloom.count(_single(unique))
-                p = (single[which] + 1) / whole
-                before = np.empty(len(every), np.float64)
-                before[1:] = single[which][:-1]
-                before[at[:-1]] = bloom.count(_single(np.array([END])))[0]
-                pair = bloom.count(_pairs(every, at))
-                smooth = np.minimum(1.0, (np.minimum(pair, before) + MU * p) / (before + MU))
-                logs = np.bincount(row, np.log10(smooth), last - first)
                 part = batch.slice(first, last - first)
-                win = uuid.uuid4().hex
-                facts = pa.StructArray.from_arrays(
-                    [part.column(0), part.column(1), pa.array(np.diff(at)), pa.array(known), pa.array(base), pa.array(logs)], ["doc_id", "held_out", "n_tokens", "n_known", "base", "score"]
+                facts = pa.StructArray.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at))], ["doc_id", "held_out", "n_tokens"])
+                docs = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), facts)
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), docs, *[pa.array([x], pa.binary()) for x in (unique.tobytes(), _planes(which))]], ["win", "docs", "words", "which"])
+
+    def read(docs: pa.Array, words: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """A window's distinct words, each token's place among them, hashes of its pairs, and where each row begins."""
+        at = np.concatenate(([0], np.cumsum(docs.field("n_tokens").to_numpy(zero_copy_only=False)))).astype(np.int64)
+        unique, which = np.frombuffer(words, np.uint64), _unplanes(which)
+        return unique, which, _pairs(unique[which], at), at
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head_words = frequent.value[0]
+        for batch in batches:
+            for i in range(batch.num_rows):
+                unique, _, pairs, _ = read(batch.column(1).slice(i, 1).flatten(), batch.column(2)[i].as_py(), batch.column(3)[i].as_py())
+                own, pairs = unique[~_find(head_words, unique)[1]], np.unique(pairs)
+                a, b, low = np.searchsorted(_fragment(own, fragments), edges), np.searchsorted(_fragment(pairs, fragments), edges), pairs.astype(np.uint32)
+                some = np.flatnonzero(np.diff(a) + np.diff(b))
+                blobs = [[x[c[k] : c[k + 1]].tobytes() for k in some] for x, c in ((own, a), (low, b))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([batch.column(0)[i].as_py()] * len(some), pa.string()), pa.array(some.astype(np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], ["win", "frag", "words", "pairs"]
                 )
-                yield row_of(win, -1, pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), facts), b"", b"")
-                # Words beyond the head go to their fragments, with the rows that hold them.
-                rest = np.flatnonzero(~inside)
-                order = rest[np.argsort(every[rest], kind="stable")]
-                own, who = every[order], row[order].astype(np.int32)
-                some = np.searchsorted(_fragment(own, fragments), np.arange(fragments + 1, dtype=np.uint64))
-                for f in np.flatnonzero(np.diff(some)):
-                    yield row_of(win, int(f), pa.nulls(1, docs_type), own[some[f] : some[f + 1]].tobytes(), who[some[f] : some[f + 1]].tobytes())
-
-    docs_type = pa.list_(pa.struct([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())]))
-
-    def row_of(win: str, frag: int, docs: pa.Array, own: bytes, who: bytes) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([win]), pa.array([frag], pa.int32()), docs, pa.array([own], pa.binary()), pa.array([who], pa.binary())], ["win", "frag", "docs", "words", "who"])
-
-    docs_ddl = "array<struct<doc_id:bigint,held_out:boolean,n_tokens:bigint,n_known:bigint,base:double,score:double>>"
-    scored = written(rows.select("doc_id", "held_out", "text").mapInArrow(score, f"win string, frag int, docs {docs_ddl}, words binary, who binary"), "scored")
 
     def look_up(key: tuple, asked: pa.Table, known: pa.Table) -> pa.Table:
-        words = np.frombuffer(known["words"][0].as_py(), np.uint64) if known.num_rows else np.zeros(0, np.uint64)
-        n = np.frombuffer(known["n"][0].as_py(), np.int64) if known.num_rows else np.zeros(0, np.int64)
-        out = {"win": [], "who": [], "base": [], "known": []}
-        for win, own, who in zip(*[asked[c].to_pylist() for c in ("win", "words", "who")], strict=True):
-            own, who = np.frombuffer(own, np.uint64), np.frombuffer(who, np.int32)
-            at = np.minimum(np.searchsorted(words, own), max(0, len(words) - 1))
-            c = np.where(words[at] == own, n[at], 0) if len(words) else np.zeros(len(own), np.int64)
-            there, where = np.unique(who, return_inverse=True)
-            out["win"].append(win)
-            out["who"].append(there.tobytes())
-            out["base"].append(np.bincount(where, np.log10((c + 1) / whole)).tobytes())
-            out["known"].append(np.bincount(where, c > 0).astype(np.int32).tobytes())
-        return pa.table({"win": pa.array(out["win"], pa.string()), **{k: pa.array(out[k], pa.binary()) for k in ("who", "base", "known")}})
+        if not asked.num_rows:
+            return pa.table({"win": pa.array([], pa.string()), "frag": pa.array([], pa.int32()), **{k: pa.array([], pa.binary()) for k in ("n", "single", "pair")}})
+        own, pairs = asked["words"].to_pylist(), asked["pairs"].to_pylist()
+        a, b = np.cumsum([0, *[len(x) // 8 for x in own]]), np.cumsum([0, *[len(x) // 4 for x in pairs]])
+        own, pairs = np.frombuffer(b"".join(own), np.uint64), np.frombuffer(b"".join(pairs), np.uint32).astype(np.uint64)
+        n, single, pair = np.zeros(len(own), np.int64), np.zeros(len(own), np.uint8), np.zeros(len(pairs), np.uint8)
+        if known.num_rows:
+            place, there = _find(np.frombuffer(known["words"][0].as_py(), np.uint64), own)
+            n[there] = np.frombuffer(known["n"][0].as_py(), np.int64)[place[there]]
+            chunk = known["chunk"][0].as_py()
+            single, pair = _own_levels(chunk, _single(own)), _own_levels(chunk, pairs)
+        blobs = {k: pa.array([x[c[i] : c[i + 1]].tobytes() for i in range(asked.num_rows)], pa.binary()) for k, x, c in (("n", n, a), ("single", single, a), ("pair", pair, b))}
+        return pa.table({"win": asked["win"], "frag": asked["frag"], **blobs})
 
     def finish(key: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
         docs = own["docs"].combine_chunks().flatten()
-        base, known = docs.field("base").to_numpy(zero_copy_only=False).copy(), docs.field("n_known").to_numpy(zero_copy_only=False).copy()
-        # In the order of the rows that they concern, so that sums do not depend on the order of arrival.
-        parts = sorted(zip(*[told[c].to_pylist() for c in ("who", "base", "known")], strict=True))
-        for who, b, k in parts:
-            who = np.frombuffer(who, np.int32)
-            base[who] += np.frombuffer(b, np.float64)
-            known[who] += np.frombuffer(k, np.int32)
+        unique, which, pairs, at = read(docs, own["words"][0].as_py(), own["which"][0].as_py())
+        # Fragments are ranges of hashes: their answers, one after another, are in the order of the sorted hashes.
+        order = np.argsort(told["frag"].to_numpy())
+        answer = lambda c, t: np.frombuffer(b"".join(told[c][int(i)].as_py() for i in order), t)
+        head_words, head_n, head_levels = frequent.value
+        place, hit = _find(head_words, unique)
+        n, level = np.empty(len(unique), np.int64), np.empty(len(unique), np.uint8)
+        n[hit], level[hit] = head_n[place[hit]], head_levels[place[hit]]
+        n[~hit], level[~hit] = answer("n", np.int64), answer("single", np.uint8)
+        row = np.repeat(np.arange(len(docs)), np.diff(at))
+        base = np.bincount(row, np.log10((n + 1) / whole)[which], len(docs))
+        known = np.bincount(row, (n > 0)[which], len(docs)).astype(np.int64)
+        # The model: quantised counts alone.
+        single = _quantised(level)
+        before = np.empty(len(which), np.float64)
+        before[1:] = single[which][:-1]
+        before[at[:-1]] = single[np.searchsorted(unique, END)]
+        pair = _quantised(answer("pair", np.uint8))[np.unique(pairs, return_inverse=True)[1]]
+        smooth = np.minimum(1.0, (np.minimum(pair, before) + MU * ((single + 1) / whole)[which]) / (before + MU))
         return pa.table({
             "doc_id": docs.field("doc_id"), "held_out": docs.field("held_out"), "n_tokens": docs.field("n_tokens"), "n_known": pa.array(known),
-            "train_tokens": pa.array(np.full(len(base), tokens)), "base_score": pa.array(base), "score": docs.field("score"),
+            "train_tokens": pa.array(np.full(len(docs), tokens)), "base_score": pa.array(base), "score": pa.array(np.bincount(row, np.log10(smooth), len(docs))),
         })
 
-    asked = scored.where("frag >= 0").select("frag", "win", "words", "who")
-    told = asked.groupBy("frag").cogroup(counts.select("frag", "words", "n").groupBy("frag")).applyInArrow(look_up, "win string, who binary, base binary, known binary")
-    own = scored.where("frag < 0").select("win", "docs")
+    docs_ddl = "array<struct<doc_id:bigint,held_out:boolean,n_tokens:bigint>>"
+    own = written(rows.mapInArrow(window, f"win string, docs {docs_ddl}, words binary, which binary"), "windows")
+    asked = own.mapInArrow(ask, "win string, frag int, words binary, pairs binary")
+    told = asked.groupBy("frag").cogroup(counts.select("frag", "words", "n", "chunk").groupBy("frag")).applyInArrow(look_up, "win string, frag int, n binary, single binary, pair binary")
     return own.groupBy("win").cogroup(told.groupBy("win")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -280,6 +280,18 @@ def test_lm_scores(spark, monkeypatch):
     assert (bloom.level(keys + np.uint64(1)) > 0).mean() < 0.02
 
 
+def test_lm_filter_grows_with_what_it_holds(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FRAGMENT_BYTES", 4000)
+    df = docs(spark, random_texts(8, 150, 300), extra=False)
+    wide = {r.doc_id: r for r in lm_score.score_texts(df, filter_bits=1 << 24).collect()}
+    for head in (0, 40):
+        got = lm_score.score_texts(df, head=head, filter_bits=64).collect()
+        assert len(got) == len(wide)
+        # No n-gram is dropped: at the design load one probe in 64 errs, so scores differ by little.
+        assert sum(abs(r.score - wide[r.doc_id].score) for r in got) < 0.05 * sum(r.n_tokens for r in got)
+        assert all(r.base_score == pytest.approx(wide[r.doc_id].base_score) and r.n_known == wide[r.doc_id].n_known for r in got)
+
+
 def test_quality_classifier(spark):
     rnd = random.Random(9)
     good = [" ".join("".join(rnd.choice("etaoins") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(60, 200))).capitalize() + "." for _ in range(260)]
