@@ -167,8 +167,6 @@ def count_ngrams(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BI
         words, n = total(read("words", np.uint64), read("n", np.uint32).astype(np.int64))
         pairs, m = total(read("pairs", np.uint32), read("m", np.uint16).astype(np.int64))
         classes = np.bincount(np.floor(8 * np.log2(np.maximum(n, 1))).astype(np.int64), minlength=512)
-        # A pair seen once in the corpus is not inserted.
-        pairs, m = pairs[m > 1], m[m > 1]
         low, c = np.concatenate([pairs, _single(words).astype(np.uint32)]), np.concatenate([m, n])
         chunk, _ = _chunk(low, c, _room(_levels(c), least))
         own = pa.array

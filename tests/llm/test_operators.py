@@ -292,6 +292,26 @@ def test_lm_filter_grows_with_what_it_holds(spark, monkeypatch):
         assert all(r.base_score == pytest.approx(wide[r.doc_id].base_score) and r.n_known == wide[r.doc_id].n_known for r in got)
 
 
+def test_lm_scores_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "WINDOW_BYTES", 4000)
+    monkeypatch.setattr(lm_score, "FRAGMENT_BYTES", 4000)
+    texts = TEXTS + random_texts(8, 150, 300)
+    rows = docs(spark, texts).collect()
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    low = lambda t: ["".join(c.lower() if "A" <= c <= "Z" else c for c in w) for w in words(t)] + [0]
+    paired = lambda own: list(zip([0] + own[:-1], own))
+    singles = Counter(w for r in rows if not held(r.doc_id) for w in low(r.text))
+    pairs = Counter(p for r in rows if not held(r.doc_id) for p in paired(low(r.text)))
+    middle = lambda c: (2 ** (c.bit_length() - 1) + 2 ** c.bit_length() - 1) / 2 if c else 0.0
+    whole = sum(singles.values()) + len(singles) + 1
+    p = lambda u, w: min(1, (middle(pairs[u, w]) + lm_score.MU * (middle(singles[w]) + 1) / whole) / (middle(singles[u]) + lm_score.MU))
+    by_id = {r.doc_id: r for r in rows}
+    once = sum(pairs[x] == 1 for r in rows if held(r.doc_id) for x in paired(low(r.text)))
+    assert once > 50
+    for r in lm_score.score_texts(docs(spark, texts), head=40, filter_bits=1 << 24).collect():
+        assert r.score == pytest.approx(sum(log10(p(u, w)) for u, w in paired(low(by_id[r.doc_id].text))), abs=1e-6)
+
+
 def test_quality_classifier(spark):
     rnd = random.Random(9)
     good = [" ".join("".join(rnd.choice("etaoins") for _ in range(rnd.randint(2, 9))) for _ in range(rnd.randint(60, 200))).capitalize() + "." for _ in range(260)]
