@@ -253,9 +253,9 @@ def format_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def base64_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """base64 ranks of words, without padding, decoded again."""
-    words = _documents(spark, sf_dir).select("doc_id", F.substring("text", 1, 11).alias("w"))
-    coded = words.select("doc_id", F.regexp_replace(F.base64(F.col("w").cast("binary")), "=+$", "").alias("b64"))
+    """base64 of whole texts, without padding, decoded again."""
+    # Spark may break long codes into lines.
+    coded = _documents(spark, sf_dir).select("doc_id", F.regexp_replace(F.base64(F.col("text").cast("binary")), r"[\r\n]+|=+$", "").alias("b64"))
     return coded.select("doc_id", "b64", scalars.base64_bytes(F.col("b64")).cast("string").alias("decoded"))
 
 
