@@ -38,11 +38,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A synthetic source tree with one file per document: doc_id, ext, path, text."""
+def sources(spark: SparkSession, sf_dir: str, only: str | None = None) -> DataFrame:
+    """A synthetic source tree with one file per document: doc_id, ext, path, text. With only, every file has that extension."""
     d = _documents(spark, sf_dir).select("doc_id", "text", "source")
     i = F.col("doc_id")
-    ext = F.element_at(F.array(*map(F.lit, EXTS)), (i % 8 + 1).cast("int"))
+    ext = F.element_at(F.array(*map(F.lit, EXTS)), (i % 8 + 1).cast("int")) if only is None else F.lit(only)
     d = d.withColumn("ext", ext)
     folder = F.when(i % 50 == 7, "node_modules/").when(i % 50 == 8, "BUILD/").when(i % 50 == 9, "").otherwise("src/")
     name = F.when(i % 40 == 11, "Makefile").when(i % 40 == 12, ".gitignore").otherwise(F.concat(F.lit("f"), i.cast("string"), F.lit("."), F.when(i % 3 == 0, F.upper("ext")).otherwise(F.col("ext"))))
@@ -136,14 +136,14 @@ def line_stats_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _line_stats_of(ext: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        files = sources(spark, sf_dir).where(F.col("ext") == ext).select("doc_id", "text")
+        files = sources(spark, sf_dir, ext).select("doc_id", "text")
         return _spread(files, line_stats(F.col("text"), BY_NAME[NAMES[ext]].syntax)).drop("text")
 
     return query
 
 
 def line_stats_generic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = sources(spark, sf_dir).where(F.col("ext") == "zzz").select("doc_id", "text")
+    files = sources(spark, sf_dir, "zzz").select("doc_id", "text")
     return _spread(files, line_stats(F.col("text"), GENERIC)).drop("text")
 
 

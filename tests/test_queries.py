@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import base64
 
+import duckdb
+import pytest
+
 from loomtally import queries
 
 SF = "/root/testdata/sf0.001"
@@ -15,3 +18,18 @@ def test_base64_of_whole_texts(spark):
     assert len(got) == len(texts) and max(map(len, texts.values())) > 10_000
     for r in got:
         assert r.decoded == texts[r.doc_id] and r.b64 == base64.b64encode(texts[r.doc_id].encode()).decode().rstrip("=")
+
+
+@pytest.mark.parametrize("ext", [*queries.HEADS, "zzz"])
+def test_line_stats_of_every_document(spark, ext):
+    name = {"py": "line_stats_python", "rs": "line_stats_rust", "zzz": "line_stats_generic"}.get(ext, f"line_stats_{ext}")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    one_in_eight = queries.oracle_sql()[name]
+    # The query's own SQL, over a source tree in which every file has this extension.
+    chosen = f"[{', '.join(f"'{e}'" for e in queries.EXTS)}][cast(doc_id % 8 as int) + 1] as ext"
+    assert one_in_eight.count(chosen) == 1
+    every = con.execute(one_in_eight.replace(chosen, f"'{ext}' as ext")).fetchall()
+    got = sorted(map(tuple, queries.queries()[name](spark, SF).collect()))
+    assert got == sorted(every) and len(got) == spark.read.parquet(f"{SF}/documents.parquet").count()
+    assert set(con.execute(one_in_eight).fetchall()) <= set(got)
