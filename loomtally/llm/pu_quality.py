@@ -185,7 +185,8 @@ def train(features: DataFrame, labels: DataFrame, key: str = "doc_id", modulus:
     """Fits on rows of features (key, _f) that are not held out. labels: key, quality."""
     open_rows = features.where(~held_out(F.col(key), modulus))
     trusted = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
-    trusted = trusted.where(~held_out(F.col(key), modulus))
+    # Only labels of the table's own rows tell the share of positives in it.
+    trusted = trusted.where(~held_out(F.col(key), modulus)).join(open_rows.select(key), key, "left_semi")
     counts = trusted.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
     prior = 0.5 if counts is None else counts
     seeded = F.xxhash64(F.lit(SEED), F.col(key))

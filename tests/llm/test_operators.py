@@ -327,3 +327,14 @@ def test_quality_classifier(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
     assert pu_quality.score_quality(df.limit(0), labels).collect() == []
     assert {r.score for r in pu_quality.score_quality(df.limit(3), labels.limit(0)).collect()} == {0.5}
+
+
+def test_quality_prior_is_that_of_the_table(spark, monkeypatch):
+    priors = []
+    monkeypatch.setattr(pu_quality, "fit", lambda positive, unlabelled, prior: priors.append(prior))
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
+    features = spark.createDataFrame([(i, [0.0] * len(pu_quality.FEATURES)) for i in ids[:20]], "doc_id long, _f array<float>")
+    # Nine in ten of the table's labels are 1; those of the other ids are all 0.
+    labels = spark.createDataFrame([(i, int(k % 10 > 0 and k < 20), 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
+    pu_quality.train(features, labels)
+    assert priors == [pytest.approx(0.9)]
