@@ -9,7 +9,7 @@ A turn is formatted as `<|turn|>ROLE<|text|>TEXT<|end|>` and a newline. In roles
 by an added backslash, so no control string that starts with one of the first two (`<|end|>`, `</s>`, `[INST]`, ...) can stand in
 them; `unescape` takes the added characters away again.
 
-Defined results: null texts and roles count as empty; messages on a cycle of parents have no root and are in no path; repeated
+Defined results: null texts and roles count as empty; a null tree is a tree of its own; messages on a cycle of parents have no root and are in no path; repeated
 messages (same tree and id) are told apart in the query by their row number, and in `reply_paths` must not occur; an empty table
 gives an empty result; other input columns are not carried.
 """
@@ -37,7 +37,8 @@ def unescape(text: Column) -> Column:
 def reply_paths(messages: DataFrame) -> DataFrame:
     """messages: tree, id, parent (null at a root). Returns tree, leaf, id, up: every message of every root-to-leaf path with its
     distance from the leaf. The number of rows is the summed length of the paths."""
-    nodes = messages.select("tree", "id", "parent")
+    # Inside a struct a null tree is a key like any other, which joins find.
+    nodes = messages.select(F.struct("tree").alias("tree"), "id", "parent")
     known = nodes.select(F.col("tree").alias("_t"), F.col("id").alias("_i"))
     # A parent that isn't there makes its children roots.
     nodes = nodes.join(known, (F.col("tree") == F.col("_t")) & (F.col("parent") == F.col("_i")), "left").select("tree", "id", F.col("_i").alias("parent"))
@@ -58,20 +59,20 @@ def reply_paths(messages: DataFrame) -> DataFrame:
         # Each path, known up to a distance below 2 ** k, gets the ancestors at the distances below 2 ** (k + 1).
         ahead = paths.join(table, ["tree", "id"]).select("tree", "leaf", F.col("to").alias("id"), (F.col("up") + (1 << k)).alias("up"))
         paths = written(paths.unionByName(ahead), "paths")
-    return paths
+    return paths.withColumn("tree", F.col("tree.tree"))
 
 
 def ranked_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
     """messages: tree, id, parent, role, text, score. Returns the messages of the chosen branches with conversation (its rank in
     the tree), position (from the root, from 0) and leaf."""
-    paths = reply_paths(messages)
-    body = messages.select("tree", "id", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
+    paths = reply_paths(messages).withColumn("tree", F.struct("tree"))
+    body = messages.select(F.struct("tree").alias("tree"), "id", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     full = paths.join(body, ["tree", "id"])
     scored = full.groupBy("tree", "leaf").agg(F.sum("score").alias("_score"), F.count("*").alias("_n"))
     rank = Window.partitionBy("tree").orderBy(F.col("_score").desc(), F.col("_n").desc(), "leaf")
     chosen = scored.withColumn("conversation", F.row_number().over(rank) - 1).where(F.col("conversation") < branches)
     out = full.join(chosen, ["tree", "leaf"])
-    return out.select("tree", "leaf", "conversation", (F.col("_n") - 1 - F.col("up")).alias("position"), "role", "text")
+    return out.select(F.col("tree.tree").alias("tree"), "leaf", "conversation", (F.col("_n") - 1 - F.col("up")).alias("position"), "role", "text")
 
 
 def format_conversations(messages: DataFrame, branches: int = 1, trained_roles: tuple[str, ...] = TRAINED_ROLES) -> DataFrame:

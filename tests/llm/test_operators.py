@@ -338,3 +338,11 @@ def test_quality_prior_is_that_of_the_table(spark, monkeypatch):
     labels = spark.createDataFrame([(i, int(k % 10 > 0 and k < 20), 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
     pu_quality.train(features, labels)
     assert priors == [pytest.approx(0.9)]
+
+
+def test_chat_of_a_null_conversation(spark):
+    rows = [(None, 0, "user", "q"), (None, 1, "assistant", "a"), (None, 2, "user", "r"), (1, 0, "user", "x"), (1, 1, "assistant", "y")]
+    messages = chat.linear_messages(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r.tree: [t.text for t in r.turns] for r in chat.parse_conversations(chat.format_conversations(messages)).collect()}
+    assert got == {None: ["q", "a", "r"], 1: ["x", "y"]}
+    assert messages.schema["tree"] == chat.reply_paths(messages).schema["tree"]
