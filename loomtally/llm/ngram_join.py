@@ -94,10 +94,10 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, n, fp, and for the first row in its window of each set that may have a partner: hashes, its shingles as sorted
+    """doc_id, text_hash, n, fp, and for the first row in its window of each set that may have a partner: hashes, its shingles as sorted
     64-bit integers, and prefix, the part of its prefix that other sets share, with positions in the order. Written to the shared folder."""
     spark = df.sparkSession
-    rows = df.select("doc_id", F.col(text).cast("string").alias("text"))
+    rows = df.select("doc_id", F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // WINDOW_BYTES))
     fragments = count
@@ -159,6 +159,7 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
         return pa.table(
             {
                 "doc_id": docs["doc_id"].cast(pa.int64()),
+                "text_hash": docs["text_hash"],
                 "win": pa.array(np.full(len(n), key[0].as_py(), np.int32)),
                 "n": pa.array(n, pa.int64()),
                 "fp": pa.array(prints.view(np.int64)),
@@ -171,7 +172,7 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
     sent = dealt.groupBy("win").applyInArrow(to_fragments, "frag int, win int, low binary, counts binary")
     answers = sent.groupBy("frag").applyInArrow(answer, "win int, frag int, classes binary")
     both = dealt.groupBy("win").cogroup(answers.groupBy("win"))
-    table = both.applyInArrow(prefixes, "doc_id long, win int, n long, fp long, hashes binary, prefix array<long>, places array<int>")
+    table = both.applyInArrow(prefixes, "doc_id long, text_hash long, win int, n long, fp long, hashes binary, prefix array<long>, places array<int>")
     return written(table, "shingles")
 
 
@@ -235,7 +236,7 @@ def _components(links: DataFrame, spark) -> DataFrame:
 
 def jaccard_components(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id, verified_links (links of its set to other sets that were verified; those inside a component need
-    not be) and copies (rows with its set)."""
+    not be), copies (rows with its set) and text_hash (xxhash64 of the text)."""
     spark = df.sparkSession
     table = shingle_table(df, text, width)
     release(spark)
@@ -281,13 +282,14 @@ def jaccard_components(df: DataFrame, text: str = "text", width: int = WIDTH) ->
     facts = tied.join(top, "comp").join(degree, "fp", "left").select("fp", "component_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     # Only sets with copies or links need a lookup; a set's fingerprint decides whether it has an answer of its own.
     facts = facts.where("copies > 1 or links > 0")
-    out = table.select("doc_id", "n", "fp").join(facts, "fp", "left")
+    out = table.select("doc_id", "text_hash", "n", "fp").join(facts, "fp", "left")
     return out.select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
         F.coalesce("links", F.lit(0)).cast("long").alias("verified_links"),
         F.coalesce("copies", F.lit(1)).cast("long").alias("copies"),
+        "text_hash",
     )
 
 
@@ -359,11 +361,12 @@ def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def keep_one(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """df with one document of each component, that with the smallest doc_id. Columns as in df. Repeated rows of it are reduced to one;
-    rows with a null doc_id stay, as nothing tells them apart; so do rows of one doc_id whose texts differ."""
+    rows with a null doc_id stay, as nothing tells them apart; so do rows of one doc_id whose texts differ, unless theirs is a copy of a smaller id's."""
     judged = jaccard_components(df, text, width)
-    gone = written(judged.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    gone = written(judged.where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias("_text_hash")).distinct(), "gone")
     # Few enough ids are broadcast; else the texts are shuffled once.
-    kept = df.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, "doc_id", "left_anti")
+    hashed = df.withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
+    kept = hashed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["doc_id", "_text_hash"], "left_anti").select(*df.columns)
     doubles = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if doubles.isEmpty():
         return kept

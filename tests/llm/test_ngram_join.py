@@ -84,3 +84,10 @@ def test_empty_repeated_and_null_rows(spark):
     assert sorted(str(r.doc_id) for r in ngram_join.keep_one(df).collect()) == ["3", "9", "None"]
     assert ngram_join.jaccard_components(df.limit(0)).collect() == []
     assert ngram_join.keep_one(df.limit(0)).collect() == []
+
+
+def test_keep_one_tells_texts_of_one_id_apart(spark):
+    rows = [(3, "a b c d e f"), (5, "a b c d e f"), (5, "quite another text that no other row has")]
+    df = spark.createDataFrame([(i, t, None, "s", None) for i, t in rows], SCHEMA)
+    assert sorted((r.doc_id, r.text) for r in ngram_join.keep_one(df).collect()) == [rows[0], rows[2]]
+    assert ngram_join.keep_one(df).columns == df.columns
