@@ -4,21 +4,23 @@ Two documents link when the Jaccard similarity of their sets of five-word shingl
 collisions of 64-bit shingle hashes.
 
 1. Windows. Documents are dealt to windows of about WINDOW_BYTES of text. A window's sets are computed together, equal sets once.
-2. Global order, in fragments. The hash range is cut into fragments of equal width. Every window sends each fragment its distinct
-   shingles with the number of its sets that hold them, so a shingle of a third of all documents costs a row per window, not per
-   document. A fragment sums the counts and answers each window with a one-byte frequency class per shingle. Class and hash
-   together are the global order, rare shingles first.
+2. Global order. The hash range is dealt over as many counters as a shuffle has partitions. Every window sends each counter its
+   distinct shingles with the number of its sets that hold them, so a shingle of a third of all documents costs a row per window, not
+   per document. A counter sums them and answers each window with a one-byte frequency class per shingle. Class and hash together are
+   the global order, rare shingles first.
 3. Prefixes. A set of n shingles needs 3/4 of them in common with any partner, so two linked sets share one of their first
    floor(n / 4) + 1 shingles in the order. Class 0 (in one set only) can't be shared: a set with more than floor(n / 4) of those links
    to nothing and leaves.
-4. Verification. A candidate pair's overlap is counted fragment by fragment and summed per pair. The prefixes come first: of two sets, the one
-   whose prefix ends first in the order has no common shingle there that the other's prefix lacks, so what the prefixes share and
-   the longer rest bound the overlap. Pairs that pass are counted on vertical cuts of the two sets.
-5. Candidates in rounds. In each, the list of a prefix shingle ties its members to a few pivots, others in each round: a few pairs a row, so a
-   group of thousands of copies costs a few rows each. Links found give components, and only lists whose members are in several of them
-   go on. Once the pairs across components are no more than a few per list row, or a round has not halved them, or after ROUNDS
-   rounds, all of those that pass the length and position bounds are verified: within a component no further link can change a
-   result. Every pair that could link is thus either inside a component or verified.
+4. Vertical fragments. EDGES cut the global order by class. A set's shingles in one fragment are its segment. A candidate pair's overlap is
+   counted fragment by fragment, where both have a segment, and the partial counts are summed per pair.
+5. Candidates. First, in ROUNDS rounds, each list of a prefix shingle names one pivot, the member with the smallest share of shingles of
+   its own, and each set proposes one pair: with the best pivot of all its lists that is in another component. So a group of
+   thousands of near copies costs a pair a set. Links found give components, and only lists whose members are in several of them go on.
+   Then all pairs across components that can still link are verified; a list's join is dealt over blocks of its members. A pair can link when
+   - both sets, after the place of their first common shingle, have enough left: min(n - i, m - j) >= 3/7 (n + m);
+   - the parities of their shingle counts in BITS buckets differ in at most (n + m) / 7 places, since a set's symmetric difference with
+     its partner has no more members than that and each flips one bit.
+   Within a component no further link can change a result. Every pair that could link is thus either inside a component or verified.
 
 Defined results: null and empty texts, and texts without words, have an empty set, n_shingles 0, verified_links 0 and their own doc_id as
 component; equal texts and repeated rows share a component, whose id is the smallest doc_id; rows with a null doc_id are kept, and
@@ -32,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -41,12 +43,14 @@ from loomtally.llm.shared import BROADCAST_ROWS, release, written
 
 WIDTH = 5
 WINDOW_BYTES = 8 << 20
-#: Rounds of pivots, one at least and so many at most, before the pairs that are left are all verified.
-ROUNDS = 3
-#: Pivots of a list in each round.
-PIVOTS = 3
-#: Vertical cuts of a set for counting overlaps.
-CUTS = 4
+#: Rounds of pivots before the pairs that are left are all verified.
+ROUNDS = 2
+#: Fragments of the global order: a shingle of class c is in fragment k, the number of edges that are not above c. Class 0 is in none.
+EDGES = (4, 16, 128)
+#: Buckets whose parities are compared before a pair is verified.
+BITS = 256
+#: Members of a list that one block of its join holds on average.
+BLOCK = 1000
 
 
 def _sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -94,28 +98,29 @@ def _classes(counts: np.ndarray) -> np.ndarray:
 
 
 def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, text_hash, n, fp, and for the first row in its window of each set that may have a partner: hashes, its shingles as sorted
-    64-bit integers, and prefix, the part of its prefix that other sets share, with positions in the order. Written to the shared folder."""
+    """doc_id, text_hash, n, fp, and for the first row in its window of each set that may have a partner: prefix, the part of its prefix that
+    other sets share, single, the place at which that begins in the order, bits, the parities of its shingles, and segments, its
+    shingles in each fragment as sorted 64-bit integers. Written to the shared folder."""
     spark = df.sparkSession
     rows = df.select("doc_id", F.col(text).cast("string").alias("text")).withColumn("text_hash", F.xxhash64("text"))
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     count = max(1, -(-size // WINDOW_BYTES))
-    fragments = count
-    dealt = rows.withColumn("win", F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(count)).cast("int"))
-    parts = max(count, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = dealt.repartition(parts, "win")
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    counters = min(count, shuffle)
+    dealt = rows.withColumn("win", F.pmod(F.xxhash64("doc_id", "text_hash"), F.lit(count)).cast("int"))
+    dealt = dealt.repartition(max(count, shuffle), "win")
 
-    def to_fragments(key: tuple, table: pa.Table) -> pa.Table:
+    def to_counters(key: tuple, table: pa.Table) -> pa.Table:
         every, at, prints = _sets(table["text"].combine_chunks(), width)
         mine = _gathered(every, at, _first_rows(prints))
         del every
-        short, counts = np.unique(_short(mine, fragments), return_counts=True)
-        cuts = np.searchsorted(short, np.arange(fragments + 1, dtype=np.uint64) << np.uint64(32))
+        short, counts = np.unique(_short(mine, counters), return_counts=True)
+        cuts = np.searchsorted(short, np.arange(counters + 1, dtype=np.uint64) << np.uint64(32))
         low, few = short.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
         return pa.table(
             {
-                "frag": pa.array(np.arange(fragments, dtype=np.int32)),
-                "win": pa.array(np.full(fragments, key[0].as_py(), np.int32)),
+                "counter": pa.array(np.arange(counters, dtype=np.int32)),
+                "win": pa.array(np.full(counters, key[0].as_py(), np.int32)),
                 "low": pa.array([low[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
                 "counts": pa.array([few[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary()),
             }
@@ -133,29 +138,49 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
         classes = np.empty(len(every), np.uint8)
         classes[order] = _classes(total)[group]
         ends = np.cumsum([len(x) for x in lows])
-        return pa.table({"win": table["win"], "frag": table["frag"], "classes": pa.array([classes[e - len(x) : e].tobytes() for e, x in zip(ends, lows, strict=True)], pa.binary())})
+        told = pa.array([classes[e - len(x) : e].tobytes() for e, x in zip(ends, lows, strict=True)], pa.binary())
+        return pa.table({"win": table["win"], "counter": table["counter"], "classes": told})
 
-    def prefixes(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def ordered(key: tuple, docs: pa.Table, answers: pa.Table) -> pa.Table:
         every, at, prints = _sets(docs["text"].combine_chunks(), width)
-        mine = _first_rows(prints)
-        short = np.unique(_short(_gathered(every, at, mine), fragments))
-        told = dict(zip(answers["frag"].to_pylist(), answers["classes"].to_pylist(), strict=True))
-        classes = np.frombuffer(b"".join(told[f] for f in range(fragments)) if told else b"", np.uint8)
-        n = np.diff(at)
-        out_hashes: list = [None] * len(n)
-        out_prefix: list = [None] * len(n)
-        out_where: list = [None] * len(n)
-        for i in mine:
-            own = every[at[i] : at[i + 1]]
-            c = classes[np.searchsorted(short, _short(own, fragments))]
-            quota = len(own) // 4 + 1
-            single = int((c == 0).sum())
-            if single >= quota:
-                continue
-            order = np.argsort(c, kind="stable")[single:quota]  # hashes are sorted, so ties go by hash
-            out_hashes[i] = own.tobytes()
-            out_prefix[i] = own[order].view(np.int64)
-            out_where[i] = np.arange(single, quota, dtype=np.int32)
+        n, mine = np.diff(at), _first_rows(prints)
+        own = _gathered(every, at, mine)
+        del every
+        row = np.repeat(mine, n[mine])
+        told = dict(zip(answers["counter"].to_pylist(), answers["classes"].to_pylist(), strict=True))
+        classes = np.frombuffer(b"".join(told[k] for k in range(counters)) if told else b"", np.uint8)
+        by_short = np.argsort(_short(own, counters), kind="stable")
+        ranked = _short(own[by_short], counters)
+        c = np.zeros(len(own), np.uint8)
+        if len(own):
+            c[by_short] = classes[np.cumsum(np.concatenate(([False], ranked[1:] != ranked[:-1])))]
+        del by_short, ranked
+        single = np.bincount(row[c == 0], minlength=len(n))
+        quota = n // 4 + 1
+        stays = np.zeros(len(n), bool)
+        stays[mine] = single[mine] < quota[mine]
+        kept = stays[row]
+        own, row, c = own[kept], row[kept], c[kept]
+        flips = np.zeros((len(n), BITS), np.uint8)
+        np.add.at(flips.reshape(-1), row * BITS + ((own >> np.uint64(20)) % np.uint64(BITS)).astype(np.int64), 1)
+        bits = np.packbits(flips & 1, axis=1).view(np.int64)
+        shared = c > 0
+        own, row, c = own[shared], row[shared], c[shared]
+        # Rows stand in order and hashes within a row too: stable sorts by class, then by fragment, keep that.
+        order = np.argsort(row * 256 + c, kind="stable")
+        left = np.where(stays, n - single, 0)
+        ends = np.cumsum(left)
+        place = np.arange(len(own)) - np.repeat(ends - left, left)
+        taken = place < np.repeat(quota - single, left)
+        prefix = own[order][taken].view(np.int64)
+        fragment = np.searchsorted(EDGES, c, "right")
+        pieces = len(EDGES) + 1
+        order = np.argsort(row * pieces + fragment, kind="stable")
+        bounds = np.zeros(len(n) * pieces + 1, np.int64)
+        np.cumsum(8 * np.bincount(row * pieces + fragment, minlength=len(n) * pieces), out=bounds[1:])
+        segments = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(n) * pieces, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(own[order].tobytes())]).cast(pa.binary())
+        gone = pa.array(~stays)
+        each = lambda sizes, values: pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), values, mask=gone)
         return pa.table(
             {
                 "doc_id": docs["doc_id"].cast(pa.int64()),
@@ -163,27 +188,29 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
                 "win": pa.array(np.full(len(n), key[0].as_py(), np.int32)),
                 "n": pa.array(n, pa.int64()),
                 "fp": pa.array(prints.view(np.int64)),
-                "hashes": pa.array(out_hashes, pa.binary()),
-                "prefix": pa.array(out_prefix, pa.list_(pa.int64())),
-                "places": pa.array(out_where, pa.list_(pa.int32())),
+                "single": pa.array(single, pa.int32()),
+                "prefix": each(np.where(stays, quota - single, 0), pa.array(prefix)),
+                "bits": each(np.full(len(n), BITS // 64), pa.array(bits.reshape(-1))),
+                "segments": each(np.full(len(n), pieces), segments),
             }
         )
 
-    sent = dealt.groupBy("win").applyInArrow(to_fragments, "frag int, win int, low binary, counts binary")
-    answers = sent.groupBy("frag").applyInArrow(answer, "win int, frag int, classes binary")
+    sent = dealt.groupBy("win").applyInArrow(to_counters, "counter int, win int, low binary, counts binary")
+    answers = sent.groupBy("counter").applyInArrow(answer, "win int, counter int, classes binary")
     both = dealt.groupBy("win").cogroup(answers.groupBy("win"))
-    table = both.applyInArrow(prefixes, "doc_id long, text_hash long, win int, n long, fp long, hashes binary, prefix array<long>, places array<int>")
-    return written(table, "shingles")
+    kinds = "doc_id long, text_hash long, win int, n long, fp long, single int, prefix array<long>, bits array<long>, segments array<binary>"
+    return written(both.applyInArrow(ordered, kinds), "shingles")
 
 
-def _counted(pairs: DataFrame, parts: DataFrame) -> DataFrame:
-    """pairs: a, b; parts: fp, n, cut, part. Adds na, nb and common, the number of shingles that the two sets share in parts, summed over the
-    cuts. Pairs are broadcast to the parts when they are few enough, else both are shuffled by set."""
+def _linked(pairs: DataFrame, segments: DataFrame) -> DataFrame:
+    """pairs: a, b, na, nb, written. Returns a, b of those with 100 * intersection >= 75 * union. segments: fp, frag, part. What two sets have
+    in common is counted in each fragment and summed. Pairs are broadcast to the segments when they are few enough."""
     few = pairs.count() <= BROADCAST_ROWS
     own = F.broadcast(pairs) if few else pairs
-    left = own.join(parts.select(F.col("fp").alias("a"), F.col("n").alias("na"), "cut", F.col("part").alias("pa")), "a")
-    right = own.join(parts.select(F.col("fp").alias("b"), F.col("n").alias("nb"), "cut", F.col("part").alias("pb")), "b")
-    both = left.join(right, ["a", "b", "cut"]).select("a", "b", "na", "nb", "pa", "pb")
+    others = pairs.select(F.col("b").alias("fp")).distinct()
+    left = own.join(segments.select(F.col("fp").alias("a"), "frag", F.col("part").alias("pa")), "a")
+    wanted = segments.join(F.broadcast(others) if few else others, "fp", "left_semi")
+    both = left.join(wanted.select(F.col("fp").alias("b"), "frag", F.col("part").alias("pb")), ["b", "frag"]).select("a", "b", "na", "nb", "pa", "pb")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,22 +218,14 @@ def _counted(pairs: DataFrame, parts: DataFrame) -> DataFrame:
             got = np.zeros(batch.num_rows, np.int64)
             for i in range(batch.num_rows):
                 p, q = np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)
-                if len(p) and len(q):
-                    at = np.searchsorted(p, q)
-                    at[at == len(p)] = 0
-                    got[i] = (p[at] == q).sum()
+                at = np.searchsorted(p, q)
+                at[at == len(p)] = 0
+                got[i] = (p[at] == q).sum()
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(4)], pa.array(got)], ["a", "b", "na", "nb", "common"])
 
     partial = both.mapInArrow(count, "a long, b long, na long, nb long, common long")
-    return partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
-
-
-def _overlaps(pairs: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
-    """pairs: a, b, written. Returns those with 100 * intersection >= 75 * union."""
-    # After a prefix of floor(n / 4) + 1 shingles, n - floor(n / 4) - 1 are left; an overlap o links when 175 * o >= 75 * (na + nb).
-    rest = F.expr("greatest(na - na div 4, nb - nb div 4) - 1")
-    near = written(_counted(pairs, heads).where(175 * (F.col("common") + rest) >= 75 * (F.col("na") + F.col("nb"))).select("a", "b"), "near")
-    return _counted(near, sets).where("100 * common >= 75 * (na + nb - common)").select("a", "b")
+    summed = partial.groupBy("a", "b", "na", "nb").agg(F.sum("common").alias("common"))
+    return summed.where("100 * common >= 75 * (na + nb - common)").select("a", "b")
 
 
 def _components(links: DataFrame, spark) -> DataFrame:
@@ -240,35 +259,24 @@ def jaccard_components(df: DataFrame, text: str = "text", width: int = WIDTH) ->
     spark = df.sparkSession
     table = shingle_table(df, text, width)
     release(spark)
-    reps = _one_row_each(table.where("hashes is not null"))
-    zipped = reps.select("fp", "n", F.explode(F.arrays_zip("prefix", "places")).alias("z"))
-    lists = written(zipped.select(F.col("z.prefix").alias("h"), "fp", "n", F.col("z.places").alias("i")), "lists")
-    sets = written(reps.select("fp", "n", "hashes").mapInArrow(_cut_sets, "fp long, n long, cut int, part binary"), "sets")
-    heads = written(reps.select("fp", "n", "prefix").mapInArrow(_heads, "fp long, n long, cut int, part binary"), "heads")
-    comps = links = tested = before = None
-    placed = lists.withColumn("comp", F.col("fp"))
+    reps = _one_row_each(table.where("prefix is not null"))
+    sets = written(reps.select("fp", "n", "single", "bits"), "sets")
+    segments = written(reps.select("fp", F.posexplode("segments").alias("frag", "part")).where(F.octet_length("part") > 0), "segments")
+    placed = reps.select("fp", "n", "single", F.posexplode("prefix").alias("i", "h"))
+    placed = written(placed.select("h", "fp", "n", (F.col("single") + F.col("i")).alias("i"), F.col("fp").alias("comp")), "lists")
+    comps = links = tested = None
     for round_ in range(ROUNDS + 1):
-        # Lists with several components: their members, and how many pairs they have across components.
-        per = placed.groupBy("h", "comp").agg(F.count("*").alias("k"))
-        per = per.groupBy("h").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("k")).alias("q"), F.count("*").alias("c")).where("c > 1")
-        load = per.agg(F.sum("n"), F.sum((F.col("n") * F.col("n") - F.col("q")) / 2)).first()
-        if not load[0]:
-            break
-        placed = written(placed.join(per.select("h"), "h", "left_semi"), "mixed")
-        last = round_ == ROUNDS or round_ > 0 and (load[1] <= 4 * load[0] or 2 * load[1] > before)
-        before = load[1]
-        pairs = _across(placed) if last else _stars(placed, round_)
+        last = round_ == ROUNDS
+        placed, pairs = _across(placed, sets) if last else _stars(placed, sets, round_)
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(tested.select("a", "b"), ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
-        found = written(_overlaps(pairs, heads, sets), "links")
+        found = written(_linked(pairs, segments), "links")
         if not found.isEmpty():
             links = found if links is None else links.unionByName(found)
             comps = _merged(comps, found, spark)
-        if last:
-            break
-        if comps is not None:
-            placed = written(placed.drop("comp").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "placed")
+            if not last:
+                placed = written(placed.drop("comp").join(comps, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")), "placed")
         tested = pairs if tested is None else tested.unionByName(pairs)
         release(spark)
     if comps is None:
@@ -300,28 +308,57 @@ def _one_row_each(rows: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(extra) if extra.count() <= BROADCAST_ROWS else extra, ["fp", "win"], "left_anti")
 
 
-def _bounded(n: str, i: str, n2: str, i2: str):
-    """Whether sets of n and n2 shingles that share the shingle at the places i and i2, and none before, can have 3/4 in common."""
-    return F.least(F.col(n) - F.col(i), F.col(n2) - F.col(i2)) >= F.ceil((F.col(n) + F.col(n2)) * 3 / 7)
-
-
-def _stars(placed: DataFrame, seed: int) -> DataFrame:
-    """Each member of a list with the list's pivots that are in other components: the members of lowest seeded hashes, which are the
-    same in most lists of a group. At most PIVOTS pairs a member."""
-    lowest = [F.min(F.struct(F.xxhash64(F.lit(PIVOTS * seed + k), "fp").alias("x"), "fp", "n", "comp")) for k in range(PIVOTS)]
-    pivot = placed.groupBy("h").agg(F.array(*lowest).alias("ps")).select("h", F.explode("ps").alias("p"))
-    pivot = pivot.select("h", F.col("p.fp").alias("fp2"), F.col("p.n").alias("n2"), F.col("p.comp").alias("comp2"))
-    # A pair that links passes the bound at its first common shingle; any other list may propose it too, so only lengths are looked at.
-    near = (F.col("n") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n") * 3)
-    stars = placed.join(pivot, "h").where((F.col("comp") != F.col("comp2")) & near)
-    return stars.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b")).distinct()
-
-
-def _across(placed: DataFrame) -> DataFrame:
-    """All pairs of a list's members that are in different components and pass the bounds."""
-    other = placed.select("h", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("i").alias("i2"), F.col("comp").alias("comp2"))
-    pairs = placed.join(other, "h").where((F.col("comp") != F.col("comp2")) & (F.col("fp") < F.col("fp2")) & _bounded("n", "i", "n2", "i2"))
-    return pairs.select(F.col("fp").alias("a"), F.col("fp2").alias("b")).distinct()
+def _several(placed: DataFrame, *more) -> DataFrame:
+    """A row for each list whose members are in several components, with its number of members k. Written, so that a long list's join can be split."""
+    per = placed.groupBy("h").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count("*").alias("k"), *more)
+    return written(per.where("_lo <> _hi").drop("_lo", "_hi"), "lists")
+
+
+def _alike() -> Column:
+    """Whether the lengths n and n2 and the parities bits and bits2 let two sets have 3/4 in common."""
+    differ = sum((F.bit_count(F.col("bits")[k].bitwiseXOR(F.col("bits2")[k])) for k in range(BITS // 64)), F.lit(0))
+    return (F.col("n") * 4 >= F.col("n2") * 3) & (F.col("n2") * 4 >= F.col("n") * 3) & (7 * differ <= F.col("n") + F.col("n2"))
+
+
+def _pairs(found: DataFrame) -> DataFrame:
+    turn = F.col("fp") < F.col("fp2")
+    pick = lambda x, y: F.when(turn, F.col(x)).otherwise(F.col(y))
+    return found.select(pick("fp", "fp2").alias("a"), pick("fp2", "fp").alias("b"), pick("n", "n2").alias("na"), pick("n2", "n").alias("nb")).distinct()
+
+
+def _stars(placed: DataFrame, sets: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """What goes on of placed, and each set with the best pivot of its lists that is in another component and may link. Pivots are the members
+    with the smallest share of shingles that no other set has; the seed decides among equal ones, which are more in later rounds."""
+    steps = (1 << 14) >> min(11 * seed, 14)
+    # The share in the upper bits, a hash of the set in the lower 48: no two sets have one rank but by a collision, which costs a proposal.
+    share = F.expr(f"{steps} - ({steps} * single) div n") * (1 << 48)
+    ranked = sets.select("fp", "n", "bits", (share + F.shiftrightunsigned(F.xxhash64(F.lit(seed), "fp"), 16)).alias("rank"))
+    placed = placed.join(ranked.select("fp", "rank"), "fp")
+    going = written(placed.join(_several(placed, F.max("rank").alias("top")), "h"), "mixed")
+    asks = going.where("rank <> top").select("fp", "comp", "top").distinct()
+    asks = asks.join(ranked.select("fp", "n", "bits"), "fp")
+    pivot = ranked.select(F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("bits").alias("bits2"), F.col("rank").alias("top"))
+    # A pivot's component is that of its set in any of its rows.
+    home = going.where("rank = top").select("top", F.col("comp").alias("comp2")).distinct()
+    asks = asks.join(home, "top").where("comp <> comp2").join(pivot, "top").where(_alike())
+    best = asks.groupBy("fp").agg(F.max("top").alias("top")).join(asks, ["fp", "top"])
+    return going.drop("rank", "top", "k"), _pairs(best)
+
+
+def _across(placed: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What goes on of placed, and all pairs of a list's members that are in different components and may link."""
+    # A member may have partners of at most `most` shingles; it stays if the list has one so short, and one that may have a partner of its length.
+    placed = placed.withColumn("most", F.expr("(7 * (n - i)) div 3 - n"))
+    for _ in range(2):
+        per = _several(placed, F.min("n").alias("_n"), F.max("most").alias("_most"))
+        placed = written(placed.join(per, "h").where("most >= _n and n <= _most").drop("_n", "_most"), "mixed").drop("k")
+    per = _several(placed).withColumn("blocks", F.expr(f"cast((k - 1) div {BLOCK} + 1 as int)")).drop("k")
+    going = placed.join(per, "h").join(sets.select("fp", "bits"), "fp")
+    going = written(going.withColumn("block", F.expr("pmod(xxhash64(fp), blocks)").cast("int")), "across")
+    # Each member stands in its block, and meets a copy of every other member in each block of the list.
+    other = going.select("h", *[F.col(c).alias(f"{c}2") for c in ("fp", "n", "comp", "bits", "most")], F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    bound = (F.col("comp") != F.col("comp2")) & (F.col("fp") < F.col("fp2")) & (F.col("n") <= F.col("most2")) & (F.col("n2") <= F.col("most"))
+    return placed, _pairs(going.join(other, ["h", "block"]).where(bound & _alike()))
 
 
 def _merged(comps: DataFrame | None, found: DataFrame, spark) -> DataFrame:
@@ -337,28 +374,6 @@ def _merged(comps: DataFrame | None, found: DataFrame, spark) -> DataFrame:
     return written(moved.unionByName(new), "comps")
 
 
-def _cut_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cuts each set at fixed places of the hash range."""
-    edges = (np.arange(1, CUTS, dtype=np.uint64) * np.uint64((1 << 64) // CUTS)).astype(np.uint64)
-    for batch in batches:
-        hashes, parts = batch.column(2), []
-        for i in range(batch.num_rows):
-            own = np.frombuffer(hashes[i].as_buffer(), np.uint64)
-            at = [0, *np.searchsorted(own, edges).tolist(), len(own)]
-            parts += [own[at[k] : at[k + 1]].tobytes() for k in range(CUTS)]
-        index = np.repeat(np.arange(batch.num_rows), CUTS)
-        cut = np.tile(np.arange(CUTS, dtype=np.int32), batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(index)), batch.column(1).take(pa.array(index)), pa.array(cut), pa.array(parts, pa.binary())], ["fp", "n", "cut", "part"])
-
-
-def _heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each set's prefix as one part, sorted by hash."""
-    for batch in batches:
-        prefixes = batch.column(2)
-        parts = [np.sort(prefixes[i].values.to_numpy().view(np.uint64)).tobytes() for i in range(batch.num_rows)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.zeros(batch.num_rows, np.int32)), pa.array(parts, pa.binary())], ["fp", "n", "cut", "part"])
-
-
 def keep_one(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """df with one document of each component, that with the smallest doc_id. Columns as in df. Repeated rows of it are reduced to one;
     rows with a null doc_id stay, as nothing tells them apart; so do rows of one doc_id whose texts differ, unless theirs is a copy of a smaller id's."""

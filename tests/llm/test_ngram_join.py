@@ -66,6 +66,10 @@ def run(spark, rows):
 def test_components_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "WINDOW_BYTES", 9000)  # several windows and fragments
     for seed in range(3):
+        if seed:  # joins without a broadcast, and lists in several blocks; in the last, no round of pivots before them
+            monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 0)
+            monkeypatch.setattr(ngram_join, "BLOCK", 3)
+            monkeypatch.setattr(ngram_join, "ROUNDS", 2 - seed)
         rows = corpus(seed)
         assert run(spark, rows) == brute(rows)
 
