@@ -1,41 +1,50 @@
 """A quality classifier by positive-unlabelled learning.
 
-Each whole text is measured once into a fixed number of features. A small network is fitted by minimising the non-negative unbiased
-risk (Kiryo et al., 2017) pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)]) with the logistic loss, so that the sigmoid of its
-output is a probability. P are trusted positives, U documents taken without their labels, and pi, the class prior, is
-the share of positives among the labelled training rows. Labels, lang, source and doc_id are never inputs of a score.
+Each whole text is measured once into a fixed number of features: counts of its surface, and the shares of its words in BUCKETS hash buckets. A
+linear model g of the standardised features is fitted by minimising the non-negative unbiased risk (Kiryo et al., 2017)
+pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)]) with the logistic loss, so that the sigmoid of g is a probability. P are the trusted
+positives and U all training documents, taken without their labels. Labels, lang, source and doc_id are never inputs of a score.
 
-Both samples are the rows with the lowest seeded hashes: at most POSITIVES and UNLABELLED of them, which is what the driver holds.
+pi, the class prior, is estimated from scores alone (best bin estimation; Garg et al., 2021): a first model tells P from U, and pi is the least ratio
+of the shares of U and of P above a threshold, where both are sure enough. Labels of negatives are never read.
+
+Both fits are Newton steps. Each is one pass over the stored features of all training rows; a pass returns sums whose number depends on the number
+of features only, so nothing is sampled and the driver holds no rows. The logistic loss makes the unbiased risk convex; a step that
+makes the risk larger or its negative part less than 0 is halved.
 
 Defined results: null and empty texts have zeros for features and get a score like any other; equal texts have equal scores; repeated
-labels of a document must agree to count as trusted; without trusted positives every score is the prior (0.5 without labels);
-empty tables give empty results; extra columns pass through unless they clash.
+labels of a document must agree to count as trusted; without trusted positives every score is 0.5, and `keep_good` keeps every row;
+empty tables give empty results; extra columns pass through unless they clash with a result column, in any case of letters.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtally.llm import textscan
-from loomtally.llm.shared import held_out, written
+from loomtally.llm.shared import held_out, pack, quoted, unpack, written
 
-#: Bounds of the samples that the driver fits on.
-POSITIVES = 20_000
-UNLABELLED = 40_000
 THRESHOLD = 0.7
-HIDDEN = 16
-STEPS = 1500
-SEED = 11
+STEPS = 12
+#: Weight of the squared weights, and what is added to it over the number of positives.
+RIDGE, RIDGE_SMALL = 5e-2, 50.0
+#: Bins of the scores from which the prior is estimated, and the probability that a share is further from the truth than allowed for.
+BINS = 1024
+DELTA = 0.1
 FEATURES = (
     "log_words", "word_bytes", "upper", "symbols", "bang", "bar", "digit", "stop", "comma", "newline", "distinct", "echo", "windows", "other_ascii", "accented", "line_words", "lines_repeated", "long_words",
 )
+#: Hash buckets of words.
+BUCKETS = 30
+WIDTH = len(FEATURES) + BUCKETS
+CLIP = 6.0
 
 
 def _share(table: np.ndarray, data: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -60,8 +69,8 @@ def _repeats(keys: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray,
 
 
 def text_features(texts: pa.Array) -> np.ndarray:
-    out = [np.zeros((0, len(FEATURES)))]
-    for _, _, data, bounds in textscan.windows(texts, 2 << 20):
+    out = [np.zeros((0, WIDTH))]
+    for _, _, data, bounds in textscan.windows(texts, 1 << 20):
         rows = len(bounds) - 1
         starts, ends, firsts = textscan.find_words(data, bounds)
         hashes = textscan.hash_words(data, starts, ends)
@@ -98,6 +107,8 @@ def text_features(texts: pa.Array) -> np.ndarray:
             first / n, np.bincount(row, same, rows) / n, 1 - once / np.maximum(every, 1) * (every > 0), per["other_ascii"] / body, per["accented"] / body,
             np.log1p(n / np.maximum(lines, 1)) / 5, 1 - lines_once / np.maximum(lines, 1) * (lines > 0), np.bincount(row, size > 20, rows) / n,
         ], axis=1)
+        spread = np.bincount(row * BUCKETS + (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
+        f = np.concatenate([f, spread / n[:, None]], axis=1)
         f[words == 0] = 0
         out.append(f)
     return np.concatenate(out)
@@ -105,129 +116,166 @@ def text_features(texts: pa.Array) -> np.ndarray:
 
 @dataclass
 class Model:
-    """A network with one hidden layer over standardised features; its size does not depend on the data."""
+    """A linear model of standardised, clipped features; its size does not depend on the data. weights: one a feature, then the constant."""
 
     mean: np.ndarray
     scale: np.ndarray
-    w1: np.ndarray
-    b1: np.ndarray
-    w2: np.ndarray
-    b2: float
-
-    def score(self, x: np.ndarray) -> np.ndarray:
-        z = np.clip((x - self.mean) / self.scale, -6, 6)
-        g = np.tanh(z @ self.w1 + self.b1) @ self.w2 + self.b2
-        return 1 / (1 + np.exp(-np.clip(g, -30, 30)))
-
-
-def constant(value: float) -> Model:
-    k = len(FEATURES)
-    value = min(max(value, 1e-6), 1 - 1e-6)
-    return Model(np.zeros(k), np.ones(k), np.zeros((k, 1)), np.zeros(1), np.zeros(1), float(np.log(value / (1 - value))))
-
-
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = STEPS, hidden: int = HIDDEN, seed: int = SEED) -> Model:
-    """Minimises the non-negative risk by Adam over full batches; where the negative part falls below 0 its gradient is turned round."""
-    if not len(positive) or not len(unlabelled):
-        return constant(prior)
-    rnd = np.random.default_rng(seed)
-    both = np.concatenate([positive, unlabelled])
-    m = constant(prior)
-    m.mean, m.scale = both.mean(0), both.std(0) + 1e-3
-    zp, zu = (np.clip((x - m.mean) / m.scale, -6, 6) for x in (positive, unlabelled))
-    p = [rnd.normal(0, 0.3, (both.shape[1], hidden)), np.zeros(hidden), rnd.normal(0, 0.3, hidden), np.zeros(1)]
-    first, second = [np.zeros_like(x) for x in p], [np.zeros_like(x) for x in p]
-
-    def back(z: np.ndarray, d: np.ndarray, h: np.ndarray) -> list[np.ndarray]:
-        dh = d[:, None] * p[2] * (1 - h * h)
-        return [z.T @ dh, dh.sum(0), h.T @ d, np.array([d.sum()])]
-
-    size = 800  # small products, which the linear algebra library does not spread over threads
-    for step in range(1, steps + 1):
-        xp = zp[rnd.integers(0, len(zp), min(size, len(zp)))]
-        xu = zu[rnd.integers(0, len(zu), min(size, len(zu)))]
-        hp, hu = np.tanh(xp @ p[0] + p[1]), np.tanh(xu @ p[0] + p[1])
-        gp, gu = hp @ p[2] + p[3], hu @ p[2] + p[3]
-        sp, su = 1 / (1 + np.exp(-gp)), 1 / (1 + np.exp(-gu))
-        # Logistic loss: l(g) = log(1 + exp(-g)); the negative part is the risk of calling U negative, less its positives.
-        negative = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
-        if negative >= 0:
-            dp = (prior * (sp - 1) - prior * sp) / len(xp)
-            du = su / len(xu)
-        else:
-            dp, du = prior * sp / len(xp), -su / len(xu)
-        grads = [a + b for a, b in zip(back(xp, dp, hp), back(xu, du, hu), strict=True)]
-        rate = 0.02 * (1 - step / (steps + 1))
-        for i, g in enumerate(grads):
-            g = g + 1e-4 * p[i]
-            first[i] = 0.9 * first[i] + 0.1 * g
-            second[i] = 0.999 * second[i] + 0.001 * g * g
-            p[i] = p[i] - rate * first[i] / (1 - 0.9**step) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-8)
-    m.w1, m.b1, m.w2, m.b2 = p[0], p[1], p[2], float(p[3][0])
-    return m
-
-
-def measured(df: DataFrame, text: str = "text") -> DataFrame:
-    """df without its text, with the array column _f of FEATURES; written to the shared folder, so that each text is read once."""
-    own = [c for c in df.columns if c not in (text, "_f")]
-    schema = T.StructType([df.schema[c] for c in own] + [T.StructField("_f", T.ArrayType(T.FloatType()))])
+    weights: np.ndarray
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            f = text_features(batch.column(len(own))).astype(np.float32)
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)), pa.array(f.ravel()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(own))], flat], schema.names)
+    def inputs(self, f: np.ndarray) -> np.ndarray:
+        z = np.clip((f - self.mean) / self.scale, -CLIP, CLIP)
+        return np.concatenate([z, np.ones((len(z), 1))], axis=1)
 
-    return written(df.select(*own, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema), "features")
+    def value(self, f: np.ndarray) -> np.ndarray:
+        return self.inputs(f) @ self.weights
 
+    def score(self, features: Column) -> Column:
+        """The sigmoid as an expression over the array of features."""
+        z = [(features[k].cast("double") - F.lit(float(self.mean[k]))) / F.lit(float(self.scale[k])) for k in range(len(self.mean))]
+        terms = [F.greatest(F.lit(-CLIP), F.least(F.lit(CLIP), x)) * F.lit(float(w)) for x, w in zip(z, self.weights, strict=False)]
+        total = terms[0]
+        for term in terms[1:]:
+            total = total + term
+        return 1 / (1 + F.exp(-(total + F.lit(float(self.weights[-1])))))
 
-def train(features: DataFrame, labels: DataFrame, key: str = "doc_id", modulus: int = 4, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Model:
-    """Fits on rows of features (key, _f) that are not held out. labels: key, quality."""
-    open_rows = features.where(~held_out(F.col(key), modulus))
-    trusted = labels.where(F.col(key).isNotNull() & F.col("quality").isNotNull()).groupBy(key).agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = q2")
-    # Only labels of the table's own rows tell the share of positives in it.
-    trusted = trusted.where(~held_out(F.col(key), modulus)).join(open_rows.select(key), key, "left_semi")
-    counts = trusted.agg(F.avg((F.col("q") == 1).cast("double"))).first()[0]
-    prior = 0.5 if counts is None else counts
-    seeded = F.xxhash64(F.lit(SEED), F.col(key))
 
-    def sample(rows: DataFrame, n: int) -> np.ndarray:
-        got = rows.select("_f", seeded.alias("_u")).orderBy("_u").limit(n).select("_f").toArrow()
-        return np.array(got["_f"].to_pylist(), np.float64).reshape(-1, len(FEATURES))
+def measured(df: DataFrame, text: str = "text", added: tuple[str, ...] = (), keep_text: bool = False) -> tuple[DataFrame, list[str]]:
+    """The columns of df that do not clash with added, packed as _row, and _f, an array of WIDTH numbers; and the names of those columns. Written to
+    the shared folder, so that each text is measured once."""
+    own, row = pack(df, added if keep_text else (*added, text))
+    texts = df.select(*row, F.col(quoted(text)).cast("string").alias("_text"))
+    schema = T.StructType([*texts.schema.fields[:-1], T.StructField("_f", T.ArrayType(T.FloatType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f = text_features(batch.column(batch.num_columns - 1)).astype(np.float32)
+            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, f.size + 1, f.shape[1], dtype=np.int32)), pa.array(f.ravel()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], flat], schema.names)
+            textscan.trim()
 
-    positive = sample(open_rows.join(trusted.where("q = 1").select(key), key, "left_semi"), positives)
-    return fit(positive, sample(open_rows, unlabelled), prior)
+    return written(texts.mapInArrow(run, schema), "features"), own
 
 
-def apply(features: DataFrame, model: Model) -> DataFrame:
-    """features without _f, with score and predicted."""
-    own = [c for c in features.columns if c not in ("_f", "score", "predicted")]
-    schema = T.StructType([features.schema[c] for c in own] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def sums(table: DataFrame, of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows (_f, _p) of table of the numbers that `of` gives for a block of rows: partial sums in each task, then one shuffle of a row
+    a number and task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
         for batch in batches:
-            f = batch.column(len(own)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, len(FEATURES))
-            score = model.score(f)
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(own))], pa.array(score), pa.array((score >= THRESHOLD).astype(np.int32))], schema.names)
+            f = batch.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, WIDTH)
+            p = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            for k in range(0, len(f), 4096):
+                part = of(f[k : k + 4096], p[k : k + 4096])
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total), dtype=np.int32)), pa.array(total)], ["k", "v"])
+        textscan.trim()
+
+    got = table.select("_f", "_p").mapInArrow(run, "k int, v double").groupBy("k").agg(F.sum("v").alias("v")).toArrow()
+    out = np.zeros(got.num_rows)
+    out[got["k"].to_numpy()] = got["v"].to_numpy()
+    return out
+
 
-    return features.select(*own, "_f").mapInArrow(run, schema)
+def log1pexp(g: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0, g)
+
+
+def _newton(total: Callable, model: Model, prior: float | None) -> Model:
+    """With a prior, the non-negative risk; without, the logistic risk of telling P from U. total: sums over the training table."""
+    size = WIDTH + 1
+
+    def state(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+        """Counts, losses, gradients and the curvature at the weights."""
+        z = model.inputs(f)
+        g = z @ model.weights
+        s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
+        curve = (z * (s * (1 - s))[:, None]).T @ z
+        mine = z[p]
+        also = (mine * (s[p] * (1 - s[p]))[:, None]).T @ mine if prior is None else np.zeros((size, size))
+        # The losses of calling U negative, P negative and P positive; their gradients in the weights.
+        return np.concatenate([[len(f), p.sum(), log1pexp(g).sum(), log1pexp(g[p]).sum(), log1pexp(-g[p]).sum()], z.T @ s, mine.T @ s[p], mine.sum(0), curve.ravel(), also.ravel()])
+
+    best, risk, step = None, np.inf, None
+    for _ in range(STEPS):
+        got = total(state)
+        nu, np_, u_neg, p_neg, p_pos = got[:5]
+        gu, gp, zp = got[5:].reshape(-1)[: 3 * size].reshape(3, size)
+        curve, also = got[5 + 3 * size :].reshape(2, size, size)
+        ridge = (RIDGE + RIDGE_SMALL / np_) * np.append(np.ones(WIDTH), 0)
+        penalty = (ridge * model.weights**2).sum() / 2
+        if prior is None:
+            now, left = p_pos / np_ + u_neg / nu + penalty, 0.0
+            slope, bend = (gp - zp) / np_ + gu / nu, also / np_ + curve / nu
+        else:
+            left = u_neg / nu - prior * p_neg / np_
+            now = prior * p_pos / np_ + max(0.0, left) + penalty
+            slope, bend = gu / nu - prior * zp / np_, curve / nu
+        if best is not None and (now > risk or left < 0):
+            step = step / 2
+            model.weights = best + step
+            continue
+        done = risk - now < 1e-6
+        best, risk = model.weights, now
+        if done:
+            break
+        step = -np.linalg.solve(bend + np.diag(ridge + 1e-9), slope + ridge * best)
+        step *= min(1.0, 10 / max(1e-9, np.abs(step).max()))
+        model.weights = best + step
+    model.weights = best
+    return model
+
+
+def estimated_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
+    """The class prior from counts per score bin, lowest scores first."""
+    nu, n = unlabelled.sum(), positive.sum()
+    above_u, above_p = unlabelled[::-1].cumsum()[::-1] / nu, positive[::-1].cumsum()[::-1] / n
+    known = above_p > 0
+    error = np.sqrt(np.log(4 / DELTA) / 2) * (1 / np.sqrt(nu) + 1 / np.sqrt(n))
+    ratio = above_u[known] / above_p[known]
+    return float(min(1.0, ratio[np.argmin(ratio + error / above_p[known])]))
+
+
+def train(table: DataFrame) -> tuple[Model | None, float]:
+    """The model and the prior from a table of _f and _p (whether it is a trusted positive); no model without positives."""
+    total = lambda of: sums(table, of)
+    got = total(lambda f, p: np.concatenate([[len(f), p.sum()], f.sum(0), (f * f).sum(0)]))
+    if not len(got) or not got[1]:
+        return None, 0.5
+    mean = got[2 : 2 + WIDTH] / got[0]
+    scale = np.sqrt(np.maximum(0, got[2 + WIDTH :] / got[0] - mean**2)) + 1e-3
+    first = _newton(total, Model(mean, scale, np.zeros(WIDTH + 1)), None)
+
+    def bins(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+        at = np.minimum(BINS - 1, BINS / (1 + np.exp(-np.clip(first.value(f), -40, 40)))).astype(np.int64)
+        return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at[p], minlength=BINS)]).astype(np.float64)
+
+    counts = total(bins)
+    prior = estimated_prior(counts[:BINS], counts[BINS:])
+    return _newton(total, Model(mean, scale, np.zeros(WIDTH + 1)), prior), prior
+
+
+def training_table(features: DataFrame, key: Column, labels: DataFrame, label_key: str = "doc_id", modulus: int = 4) -> DataFrame:
+    """_f and _p of the rows that are not held out. labels: label_key, quality."""
+    trusted = labels.where(F.col(label_key).isNotNull() & F.col("quality").isNotNull()).groupBy(label_key)
+    trusted = trusted.agg(F.min("quality").alias("q"), F.max("quality").alias("q2")).where("q = 1 and q2 = 1").select(F.col(label_key).alias("_key"))
+    rows = features.select("_f", key.alias("_id")).where(~held_out(F.col("_id"), modulus))
+    joined = rows.join(trusted, rows["_id"] == trusted["_key"], "left")
+    return written(joined.select("_f", F.col("_key").isNotNull().alias("_p")), "training")
 
 
 def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without its text, with held_out, score and predicted."""
-    features = measured(df, text)
-    model = train(features, labels, key)
-    return apply(features, model).withColumn("held_out", held_out(F.col(key), 4))
-
-
-def keep_good(df: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows predicted 1, with the columns of df. The model is fitted on df's own rows; its size is fixed, so the texts are scored where they are."""
-    model = train(measured(df.select("doc_id", "text")), labels)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = model.score(text_features(batch.column(batch.num_columns - 1)).astype(np.float32).astype(np.float64)) >= THRESHOLD
-            kept = batch.filter(pa.array(good))
-            yield pa.RecordBatch.from_arrays(kept.columns[:-1], batch.schema.names[:-1])
-
-    return df.select(*df.columns, F.col("text").cast("string").alias("_text")).mapInArrow(run, df.schema)
+    features, own = measured(df, text, ("held_out", "score", "predicted"))
+    model, _ = train(training_table(features, F.col("_row")[key], labels))
+    score = F.lit(0.5) if model is None else model.score(F.col("_f"))
+    out = features.select("_row", score.alias("score"))
+    return out.select(*unpack(own), held_out(F.col("_row")[key], 4).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows predicted 1, with the columns of df. The model is fitted on df's own rows."""
+    features, own = measured(df, text, keep_text=True)
+    model, _ = train(training_table(features, F.col("_row")[key], labels))
+    return (features if model is None else features.where(model.score(F.col("_f")) >= THRESHOLD)).select(*unpack(own))

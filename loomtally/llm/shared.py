@@ -21,6 +21,8 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one of this machine only where that is unset, as in tests."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="loomtally-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         found = "file://" + found
@@ -51,6 +53,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def pack(df: DataFrame, added: tuple[str, ...] = ()) -> tuple[list[str], list[Column]]:
+    """The columns of df whose names, in any case of letters, are not among added, and one column _row that holds them: within it they can't clash
+    with the names that an operator uses. No column where there are none."""
+    taken = {a.lower() for a in added}
+    own = [c for c in df.columns if c.lower() not in taken]
+    return own, [F.struct(*[F.col(quoted(c)) for c in own]).alias("_row")] if own else []
+
+
+def unpack(own: list[str]) -> list[Column]:
+    return [F.col("_row").getField(c).alias(c) for c in own]
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are no longer referenced."""
     import gc
