@@ -1,14 +1,13 @@
 """BPE encoding and decoding with a pair occurrence index.
 
 A text is cut into the added tokens that stand in it and, between them, into the pieces of the byte-level pre-tokenizer. The distinct
-pieces of a partition's batch are encoded together. An index holds the active pairs of all pieces with their positions; ranks are
-applied in ascending order, and after each the entries of the neighbouring pairs alone are updated. Pieces do not touch one another,
-so the ascending order matters only within a piece: short pieces keep their entries in one numpy table and each applies its own
-lowest rank in the same wave, long ones share lists of positions per pair and a heap of ranks. Pieces seen before are looked up, in
-a memo of bounded size.
+pieces of a window of a partition that were not met before are encoded together: an index maps each pair that has a rank to all its positions in all
+those pieces, and the active ranks are applied in ascending order from a heap, each at all positions of its pair; a merge updates the lists of
+the two pairs beside it alone. Pieces met before are looked up, in a memo of bounded size.
 
 Defined results: a null or empty text has no tokens, the digests of the empty string, and decodes to the empty text; equal texts
-have equal results; very long pieces cost n log n; an empty table gives an empty result; extra columns pass through unless they clash.
+have equal results; very long pieces cost n log n; an empty table gives an empty result; extra columns pass through unless they clash with a
+result column, in any case of letters.
 """
 
 from __future__ import annotations
@@ -28,13 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtally.llm import textscan
+from loomtally.llm.shared import pack, quoted, unpack
 
 #: Distinct pieces that a worker remembers, and bytes of text that are encoded together.
 MEMO_PIECES = 400_000
 WINDOW_BYTES = 2 << 20
-#: Widths in bytes of the tables in which short pieces are merged; longer pieces use lists and a heap.
-SHORT = (4, 8, 12, 16, 24, 40)
-NONE = np.int32(2**31 - 1)
 
 _LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
 #: Texts of these characters alone (ASCII, and Latin-1 without its digits and blanks) are cut by the standard library, twice as fast.
@@ -71,12 +68,6 @@ class ByteLevelBPE:
         for token, i in vocab.items():
             self.bytes[i] = bytes(value[c] for c in token) if all(c in value for c in token) else token.encode()
         self.names = [str(i) for i in range(size)]
-        self.size = size
-        table = sorted((a * size + b, r, new) for (a, b), (r, new) in self.rank.items())
-        self._build(table)
-        self.made = np.zeros(len(merges) + 1, np.int32)
-        for _, r, new in table:
-            self.made[r] = new
         self.added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         for token, i in self.added.items():
             self.bytes[i] = token.encode()
@@ -85,7 +76,6 @@ class ByteLevelBPE:
         self.quick = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{_LETTERS}]+| ?[0-9]+| ?[^\\s{_LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
         blank = r"\p{White_Space}"
         self.full = regex.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?\p{{L}}+| ?\p{{N}}+| ?[^{blank}\p{{L}}\p{{N}}]+|{blank}+(?=$|{blank})|{blank}+".replace("(?=$|", r"(?=\Z|"))
-        self.first_ids = np.array(self.first, np.int32)
         self.known = (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32))
         self.byte_sizes = np.array([len(b) for b in self.bytes])
         self.byte_starts = np.cumsum(self.byte_sizes) - self.byte_sizes
@@ -108,151 +98,65 @@ class ByteLevelBPE:
     def pieces(self, text: str) -> list[str]:
         return (self.full if self.strange.search(text) else self.quick).findall(text)
 
-    def merge_all(self, pieces: list[str]) -> list[tuple[int, ...]]:
-        """Token ids of distinct pieces."""
-        data = [p.encode() for p in pieces]
-        out: list = [None] * len(pieces)
-        size = np.array([len(d) for d in data])
-        low = 0
-        for high in SHORT:
-            at = np.flatnonzero((size > low) & (size <= high))
-            for i, ids in zip(at.tolist(), self._merge_short([data[i] for i in at], high), strict=True):
-                out[i] = ids
-            low = high
-        at = np.flatnonzero(size > low).tolist()
-        for i, ids in zip(at, self._merge_long([data[i] for i in at]), strict=True):
-            out[i] = ids
-        return out
-
-    def _hash(self, key: np.ndarray) -> np.ndarray:
-        return ((key * 0x9E3779B1) & 0xFFFFFFFF) >> (32 - self.bits)
-
-    def _build(self, table: list[tuple[int, int, int]]) -> None:
-        """Ranks by pair in an open-addressed table with at least three free places in four."""
-        self.bits = max(8, (4 * len(table)).bit_length())
-        keys, ranks = np.full(1 << self.bits, -1, np.int64), np.full(1 << self.bits, NONE, np.int32)
-        place = self._hash(np.array([t[0] for t in table], np.int64)).tolist()
-        for (key, r, _), i in zip(table, place, strict=True):
-            while keys[i] >= 0:
-                i = (i + 1) & ((1 << self.bits) - 1)
-            keys[i], ranks[i] = key, r
-        self.keys, self.key_ranks = keys, ranks
-
-    def _ranks(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        key = a.astype(np.int64) * self.size + b
-        key[(a < 0) | (b < 0)] = -2
-        at = self._hash(key)
-        there = self.keys[at]
-        out = np.where(there == key, self.key_ranks[at], NONE)
-        left = np.flatnonzero((there != key) & (there >= 0) & (key >= 0))
-        if len(left):
-            shape, out = out.shape, out.ravel()
-            key, at = key.ravel(), at.ravel()
-            left = np.flatnonzero((there.ravel() != key) & (there.ravel() >= 0) & (key >= 0))
-            while len(left):
-                at[left] = (at[left] + 1) & ((1 << self.bits) - 1)
-                there = self.keys[at[left]]
-                hit = there == key[left]
-                out[left[hit]] = self.key_ranks[at[left[hit]]]
-                left = left[~hit & (there >= 0)]
-            out = out.reshape(shape)
-        return out
-
-    def _merge_short(self, data: list[bytes], width: int) -> list[tuple[int, ...]]:
-        """The index as a table: a row per piece, and in it the rank of the pair at each position. In each wave every piece applies its lowest
-        active rank at the first position that has it; then only the entries of the two pairs beside it are looked up again."""
-        if not data:
-            return []
-        flat = np.frombuffer(b"".join(d.ljust(width, b"\0") for d in data), np.uint8).reshape(len(data), width)
-        table = self._merge_table(flat, np.arange(width) < np.array([len(d) for d in data])[:, None])
-        return [tuple(x[:k]) for x, k in zip(table.tolist(), (table >= 0).sum(axis=1).tolist(), strict=True)]
-
-    def _merge_table(self, flat: np.ndarray, inside: np.ndarray) -> np.ndarray:
-        """flat: a row of bytes per piece, where inside. Returns its ids, then -1. Waves as told in _merge_short."""
-        n, width = flat.shape
-        sym = np.full((n, width + 2), -1, np.int32)
-        sym[:, 1 : width + 1] = np.where(inside, self.first_ids[flat], -1)
-        ranks = self._ranks(sym[:, :-1], sym[:, 1:])
-        rows, along, out = np.arange(n), np.arange(width + 2), np.full((n, width + 2), -1, np.int32)
-        flats = [along + (along > k) for k in range(width + 1)]
-        shifts = np.array([np.minimum(x, width + 1) for x in flats])
-        while True:
-            at = ranks.argmin(axis=1)
-            own = np.arange(len(rows))
-            best = ranks[own, at]
-            going = best != NONE
-            if not going.all():
-                out[rows[~going]] = sym[~going]
-                rows, sym, ranks, at, best = rows[going], sym[going], ranks[going], at[going], best[going]
-                own = own[: len(rows)]
-            if not len(rows):
-                break
-            shift = shifts[at]
-            sym = sym[own[:, None], shift]
-            sym[own, at] = self.made[best]
-            ranks = ranks[own[:, None], np.minimum(shift[:, :-1], width)]
-            ranks[own, at - 1] = self._ranks(sym[own, at - 1], sym[own, at])
-            ranks[own, at] = self._ranks(sym[own, at], sym[own, at + 1])
-        return out[:, 1:]
-
-    def _merge_long(self, data: list[bytes]) -> list[tuple[int, ...]]:
-        """The index as lists: from each pair to all its positions in all pieces, and a heap of the active ranks."""
+    def merge_all(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Token ids of distinct pieces. The index: from each pair to the positions of its first token, and a heap of the active ranks."""
+        first, rank = self.first, self.rank
         sym: list[int] = []
         starts = []
-        for d in data:
+        for piece in pieces:
             starts.append(len(sym))
-            sym += [self.first[b] for b in d]
+            sym += [first[b] for b in piece]
             sym.append(-1)  # no pair crosses the end of a piece
         n = len(sym)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        where: dict[tuple[int, int], list[int]] = {}
-        rank = self.rank
-        for i in range(n - 1):
-            pair = (sym[i], sym[i + 1])
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        places: dict[tuple[int, int], list[int]] = {}
+        for i, pair in enumerate(itertools.pairwise(sym)):
             if pair in rank:
-                where.setdefault(pair, []).append(i)
-        active = [(rank[p][0], p) for p in where]
+                if pair in places:
+                    places[pair].append(i)
+                else:
+                    places[pair] = [i]
+        active = [(rank[p][0], p) for p in places]
         heapq.heapify(active)
+
+        def enter(pair: tuple[int, int], at: int) -> bool:
+            """Adds a position to the index; whether it has made a rank active."""
+            if pair not in rank:
+                return False
+            if pair in places:
+                places[pair].append(at)
+                return False
+            places[pair] = [at]
+            heapq.heappush(active, (rank[pair][0], pair))
+            return True
+
         while active:
             r, pair = heapq.heappop(active)
-            at = where.pop(pair, None)
-            if at is None:
-                continue
-            a, b = pair
-            new = rank[pair][1]
-            at.sort()
-            for i in at:
-                if sym[i] != a:
+            todo = sorted(places.pop(pair))
+            left, right, new = *pair, rank[pair][1]
+            for done, i in enumerate(todo):
+                j = after[i]
+                if sym[i] != left or j >= n or sym[j] != right:
                     continue
-                j = nxt[i]
-                if j >= n or sym[j] != b:
-                    continue
-                k = nxt[j]
-                sym[i], sym[j], nxt[i] = new, -2, k
-                if k < n:
-                    prv[k] = i
-                    p = (new, sym[k])
-                    if p in rank:
-                        if p in where:
-                            where[p].append(i)
-                        else:
-                            where[p] = [i]
-                            heapq.heappush(active, (rank[p][0], p))
-                h = prv[i]
-                if h >= 0:
-                    p = (sym[h], new)
-                    if p in rank:
-                        if p in where:
-                            where[p].append(h)
-                        else:
-                            where[p] = [h]
-                            heapq.heappush(active, (rank[p][0], p))
+                k = after[j]
+                sym[i], sym[j], after[i] = new, -2, k
+                before[k] = i
+                lower = enter((new, sym[k]), i)
+                h = before[i]
+                if h >= 0 and sym[h] >= 0:
+                    lower |= enter((sym[h], new), h)
+                if lower and active[0][0] < r:
+                    # A lower rank is due first: what is left of this pair waits.
+                    if rest := todo[done + 1 :]:
+                        places[pair] = places.get(pair, []) + rest
+                        heapq.heappush(active, (r, pair))
+                    break
         out = []
         for s in starts:
             ids, i = [], s
             while sym[i] != -1:
                 ids.append(sym[i])
-                i = nxt[i]
+                i = after[i]
             out.append(tuple(ids))
         return out
 
@@ -269,7 +173,7 @@ class ByteLevelBPE:
         if len(memo) + len(new) > MEMO_PIECES:
             memo.clear()
             new = list(seen)
-        memo.update(zip(new, self.merge_all(new), strict=True))
+        memo.update(zip(new, self.merge_all([p.encode() for p in new]), strict=True))
         get, chain = memo.__getitem__, itertools.chain.from_iterable
         out = []
         for c, m in zip(cut, mixed, strict=True):
@@ -382,27 +286,10 @@ class ByteLevelBPE:
 
     def merge_ranges(self, data: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the byte ranges, one after another, and how many each has."""
-        lengths, tables, low = np.zeros(len(starts), np.int64), [], 0
-        for high in SHORT:
-            at = np.flatnonzero((size > low) & (size <= high))
-            if len(at):
-                along = np.arange(high)
-                inside = along < size[at, None]
-                table = self._merge_table(data[np.minimum(starts[at, None] + along, len(data) - 1)], inside)
-                lengths[at] = (table >= 0).sum(axis=1)
-                tables.append((at, table))
-            low = high
-        at = np.flatnonzero(size > low)
-        long = self._merge_long([data[starts[i] : starts[i] + size[i]].tobytes() for i in at])
-        lengths[at] = [len(x) for x in long]
-        begin = np.cumsum(lengths) - lengths
-        out = np.zeros(int(lengths.sum()), np.int32)
-        for rows, table in tables:
-            there = table >= 0
-            out[(begin[rows, None] + np.arange(table.shape[1]))[there]] = table[there]
-        for i, ids in zip(at, long, strict=True):
-            out[begin[i] : begin[i] + len(ids)] = ids
-        return out, lengths
+        whole = data.tobytes()
+        merged = self.merge_all([whole[a : a + n] for a, n in zip(starts.tolist(), size.tolist(), strict=True)])
+        lengths = np.fromiter(map(len, merged), np.int64, len(merged))
+        return np.fromiter(itertools.chain.from_iterable(merged), np.int32, int(lengths.sum())), lengths
 
     def decode_bytes(self, ids: np.ndarray, where: np.ndarray) -> tuple[bytes, np.ndarray]:
         """The bytes of all rows of ids, one after another, and where each row begins."""
@@ -433,14 +320,22 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", digests: bo
         spec = df.sparkSession.sparkContext.broadcast(file.read())
     ddl = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
     fields = T._parse_datatype_string(ddl).fields
-    own = [c for c in df.columns if c != text and c not in [f.name for f in fields]]
-    schema = T.StructType([df.schema[c] for c in own] + list(fields))
+    own, row = pack(df, (text, *(f.name for f in fields)))
+    texts = df.select(*row, F.col(quoted(text)).cast("string").alias("_text"))
+    schema = T.StructType([*texts.schema.fields[:-1], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # millions of live tuples, none of them in a cycle
+        try:
+            yield from coded(batches)
+        finally:
+            gc.enable()  # the worker goes on to other tasks
+            textscan.trim()
+
+    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = ByteLevelBPE(spec.value)
         for batch in batches:
-            for a, b, data, bounds in textscan.windows(batch.column(len(own)), WINDOW_BYTES):
+            for a, b, data, bounds in textscan.windows(batch.column(batch.num_columns - 1), WINDOW_BYTES):
                 ids, where = model.encode_bytes(data, bounds)
                 decoded, begin = model.decode_bytes(ids, where)
                 rows = range(b - a)
@@ -461,6 +356,6 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", digests: bo
                     lists = pa.ListArray.from_arrays(pa.array(where, pa.int32()), pa.array(ids, pa.int32()))
                     extra = [lists, pa.array([t.decode() for t in texts], pa.string())]
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in range(len(own))], *extra], schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *extra], schema.names)
 
-    return df.select(*own, F.col(text).cast("string").alias("_text")).mapInArrow(run, schema)
+    return texts.mapInArrow(run, schema).select(*unpack(own), *[f.name for f in fields])

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.llm import bpe, chat, lm_score, media, mixing, ngram_join, pu_quality, quality_rules, sharding, url_rules
 from loomtally.llm.shared import documents
 
-#: Where the public tokenizers' files lie; a parameter of the operator.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
+#: The vocabulary's file; a parameter of the operator.
+VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 #: Host, path and verdict of each rule.
 URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
 
@@ -42,7 +43,7 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", planted), (-7, 1, "assistant", planted)], "conv_id long, turn long, role string, text string")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
-    read = chat.parse_conversations(chat.format_conversations(chat.linear_messages(rows)))
+    read = chat.parse_conversations(chat.format_conversations(chat.linear_messages(rows), unique=True))
     loss = F.array_join("loss", "")
     return read.select(
         F.col("tree").alias("conv_id"),
