@@ -10,8 +10,8 @@ by an added backslash, so no control string that starts with one of the first tw
 them; `unescape` takes the added characters away again.
 
 Defined results: null texts and roles count as empty; a null tree is a tree of its own; messages on a cycle of parents have no root and are in no path; repeated
-messages (same tree and id) are told apart in the query by their row number, and in `reply_paths` must not occur; an empty table
-gives an empty result; other input columns are not carried.
+messages (same tree and id) count once, as the one that is least by parent, role, text and score; messages with a null id are left out, as nothing
+can name them; an empty table gives an empty result; other input columns are not carried.
 """
 
 from __future__ import annotations
@@ -34,9 +34,18 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"([<\[\\])\\", r"$1")
 
 
-def reply_paths(messages: DataFrame) -> DataFrame:
+def each_once(messages: DataFrame) -> DataFrame:
+    """One row of each tree and id."""
+    rest = [c for c in ("parent", "role", "text", "score") if c in messages.columns]
+    least = messages.where("id is not null").groupBy("tree", "id").agg(F.min(F.struct(*rest)).alias("m"))
+    return least.select("tree", "id", "m.*")
+
+
+def reply_paths(messages: DataFrame, unique: bool = False) -> DataFrame:
     """messages: tree, id, parent (null at a root). Returns tree, leaf, id, up: every message of every root-to-leaf path with its
-    distance from the leaf. The number of rows is the summed length of the paths."""
+    distance from the leaf. The number of rows is the summed length of the paths. unique: whether no tree and id are repeated, so that
+    nothing need be looked for."""
+    messages = messages if unique else each_once(messages)
     # Inside a struct a null tree is a key like any other, which joins find.
     nodes = messages.select(F.struct("tree").alias("tree"), "id", "parent")
     known = nodes.select(F.col("tree").alias("_t"), F.col("id").alias("_i"))
@@ -62,10 +71,11 @@ def reply_paths(messages: DataFrame) -> DataFrame:
     return paths.withColumn("tree", F.col("tree.tree"))
 
 
-def ranked_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
+def ranked_branches(messages: DataFrame, branches: int = 1, unique: bool = False) -> DataFrame:
     """messages: tree, id, parent, role, text, score. Returns the messages of the chosen branches with conversation (its rank in
     the tree), position (from the root, from 0) and leaf."""
-    paths = reply_paths(messages).withColumn("tree", F.struct("tree"))
+    messages = messages if unique else each_once(messages)
+    paths = reply_paths(messages, True).withColumn("tree", F.struct("tree"))
     body = messages.select(F.struct("tree").alias("tree"), "id", "role", "text", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     full = paths.join(body, ["tree", "id"])
     scored = full.groupBy("tree", "leaf").agg(F.sum("score").alias("_score"), F.count("*").alias("_n"))
@@ -75,10 +85,10 @@ def ranked_branches(messages: DataFrame, branches: int = 1) -> DataFrame:
     return out.select(F.col("tree.tree").alias("tree"), "leaf", "conversation", (F.col("_n") - 1 - F.col("up")).alias("position"), "role", "text")
 
 
-def format_conversations(messages: DataFrame, branches: int = 1, trained_roles: tuple[str, ...] = TRAINED_ROLES) -> DataFrame:
+def format_conversations(messages: DataFrame, branches: int = 1, trained_roles: tuple[str, ...] = TRAINED_ROLES, unique: bool = False) -> DataFrame:
     """One row per chosen branch: tree, conversation, n_turns, formatted, and loss_spans, the (start, length) code point ranges of
     `formatted` under the loss mask."""
-    turns = ranked_branches(messages, branches)
+    turns = ranked_branches(messages, branches, unique)
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     turns = turns.select("tree", "conversation", "position", role.alias("role"), escape(text).alias("_text"), F.concat(F.lit(TURN), escape(role), F.lit(TEXT)).alias("_head"))
     turns = turns.withColumn("_piece", F.concat("_head", "_text", F.lit(END)))

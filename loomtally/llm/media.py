@@ -6,8 +6,8 @@ once. `fill_metadata` reads only the first 33 bytes of a member, which hold the
 A task that is run again writes a shard of a new name, and only the names in the rows of the successful attempt are ever read.
 
 Defined results: a null or empty text is a payload of 64 zero bytes; equal texts have equal values in every column but the place
-in a shard; an empty table gives an empty result; repeated rows and null ids are kept as they are; extra columns pass through
-`write_shards` unless they clash with its own.
+in a shard; an empty table gives an empty result; repeated rows and null ids are kept as they are; extra columns pass through each
+function unless they clash with its own, in any case of letters.
 """
 
 from __future__ import annotations
@@ -25,10 +25,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from loomtally.llm.shared import scratch_path, written
+from loomtally.llm.shared import pack, quoted, scratch_path, unpack, written
 
 WIDTH = 64
 SHARD_BYTES = 32 << 20
+#: Rows after which a shard is closed even if equal payloads have kept it small.
+SHARD_ROWS = 20_000
 LEVEL = 1
 HEADER_BYTES = 33
 REFERENCE = "digest string, shard string, offset long, length long, n_bytes long"
@@ -82,6 +84,22 @@ def decode_png(data: bytes) -> bytes:
     return lines[:, 1:].tobytes()
 
 
+def image_feature(payload: bytes) -> str:
+    """The image's size, the mean and the standard deviation of its samples, and its average hash: cells of 8 by 8, from the upper left, of
+    which those that are lighter than the whole image are set. An image of fewer than 8 lines repeats lines."""
+    import numpy as np
+
+    lines = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH).astype(np.int64)
+    height, total = len(lines), int(lines.sum())
+    low = np.arange(8) * height // 8
+    high = np.maximum(low + 1, (np.arange(8) + 1) * height // 8)
+    down = np.concatenate([np.zeros((1, 8), np.int64), lines.reshape(height, 8, WIDTH // 8).sum(2).cumsum(0)])
+    cells = (down[high] - down[low]) * len(payload) > total * ((high - low) * (WIDTH // 8))[:, None]
+    mean = total / len(payload)
+    spread = max(0.0, int((lines * lines).sum()) / len(payload) - mean * mean) ** 0.5
+    return f"grey8:{WIDTH}x{height}:mean={mean:.3f}:std={spread:.3f}:ahash={np.packbits(cells).tobytes().hex()}"
+
+
 def _place(uri: str):
     from pyarrow import fs
 
@@ -119,8 +137,10 @@ def write_shards(df: DataFrame, text: str = "text", folder: str | None = None, s
     """df without its text, with the columns of REFERENCE. Each task streams its rows into shards of about shard_bytes."""
     folder = folder or scratch_path(df.sparkSession, "media")
     names = [f.strip().split()[0] for f in REFERENCE.split(",")]
-    own = [c for c in df.columns if c != text and c not in names]
-    schema = T.StructType([df.schema[c] for c in own] + list(T._parse_datatype_string(REFERENCE).fields))
+    own, row = pack(df, (text, *names))
+    light = df.select(*row, F.col(quoted(text)).cast("string").alias("_text"))
+    schema = T.StructType([*light.schema.fields[:-1], *T._parse_datatype_string(REFERENCE).fields])
+    kept = light.columns[:-1]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, held, refs = None, [], []
@@ -130,20 +150,20 @@ def write_shards(df: DataFrame, text: str = "text", folder: str | None = None, s
             nonlocal shard, held, refs
             if shard is not None:
                 shard.close()
-                columns = [pa.concat_arrays([b.column(k) for b in held]) for k in range(len(own))] + [pa.array([r[i] for r in refs], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))]
-                yield from pa.table(columns, own + names).to_batches()
+                columns = [pa.concat_arrays([b.column(k) for b in held]) for k in range(len(kept))] + [pa.array([r[i] for r in refs], t) for i, t in enumerate((pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))]
+                yield from pa.table(columns, kept + names).to_batches()
             shard, held, refs = None, [], []
 
         for batch in batches:
-            start, bodies = 0, batch.column(len(own))
-            batch = batch.select(range(len(own)))  # texts aren't held until the shard is closed
+            start, bodies = 0, batch.column(len(kept))
+            batch = batch.select(range(len(kept)))  # texts aren't held until the shard is closed
             for i in range(batch.num_rows):
                 shard = shard or _Shard(folder)
                 value = bodies[i].as_buffer()
                 data = value.to_pybytes() if value is not None else b""
                 digest, offset, length = shard.add(data)
                 refs.append((digest, shard.uri, offset, length, len(data)))
-                if shard.at >= shard_bytes:
+                if shard.at >= shard_bytes or len(refs) >= SHARD_ROWS:
                     held.append(batch.slice(start, i + 1 - start))
                     start = i + 1
                     yield from flush()
@@ -151,40 +171,36 @@ def write_shards(df: DataFrame, text: str = "text", folder: str | None = None, s
                 held.append(batch.slice(start))
         yield from flush()
 
-    light = df.select(*own, F.col(text).cast("string").alias("_text"))
-    return written(light.mapInArrow(write, schema), "refs")
+    return written(light.mapInArrow(write, schema), "refs").select(*unpack(own), *names)
 
 
-def _ranges(refs: DataFrame, read, schema: T.StructType) -> DataFrame:
-    """Applies read(file, offset, length) to each row of refs; rows come shard by shard, so a file is opened once in a run of them."""
-    own = refs.columns
+def _ranges(refs: DataFrame, ddl: str, read) -> DataFrame:
+    """Adds the columns of ddl, which read(file, offset, length) gives for each row of refs; rows come shard by shard, so a file is opened once in
+    a run of them."""
+    more = T._parse_datatype_string(ddl).fields
+    own, row = pack(refs, tuple(f.name for f in more))
+    placed = refs.select(*row, "shard", "offset", "length")
+    schema = T.StructType([*placed.schema.fields[:-3], *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
         uri, file = None, None
         for batch in batches:
             got = []
-            at = {name: i for i, name in enumerate(own)}
-            columns = [batch.column(at[c]).to_pylist() for c in ("shard", "offset", "length")]
-            for shard, offset, length in zip(*columns, strict=True):
+            for shard, offset, length in zip(*[c.to_pylist() for c in batch.columns[-3:]], strict=True):
                 if shard != uri:
                     if file is not None:
                         file.close()
                     fs, path = _place(shard)
                     uri, file = shard, fs.open_input_file(path)
                 got.append(read(file, offset, length))
-            fields = schema.fields[len(own) :]
-            from pyspark.sql.pandas.types import to_arrow_type
-
-            extra = [pa.array([g[i] for g in got], to_arrow_type(f.dataType)) for i, f in enumerate(fields)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], own + [f.name for f in fields])
+            extra = [pa.array([g[i] for g in got], to_arrow_type(f.dataType)) for i, f in enumerate(more)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-3], *extra], schema.names)
         if file is not None:
             file.close()
 
-    return refs.mapInArrow(run, schema)
-
-
-def _with(refs: DataFrame, ddl: str) -> T.StructType:
-    return T.StructType(list(refs.schema.fields) + list(T._parse_datatype_string(ddl).fields))
+    return placed.mapInArrow(run, schema).select(*unpack(own), *[f.name for f in more])
 
 
 def fill_metadata(refs: DataFrame) -> DataFrame:
@@ -193,12 +209,12 @@ def fill_metadata(refs: DataFrame) -> DataFrame:
     def read(file, offset: int, length: int):
         return png_header(file.read_at(HEADER_BYTES, offset))
 
-    return _ranges(refs, read, _with(refs, "width int, height int, bits int"))
+    return _ranges(refs, "width int, height int, bits int", read)
 
 
 def read_payloads(refs: DataFrame) -> DataFrame:
     """Adds what the stored bytes give when they are read back: media_bytes, media_sha256, payload_bytes, payload_sha256,
-    tail_crc32 (of the last 64 payload bytes) and feature (mean sample and number of zero samples)."""
+    tail_crc32 (of the last 64 payload bytes) and feature, as told by `image_feature`."""
 
     def read(file, offset: int, length: int):
         media = file.read_at(length, offset)
@@ -209,10 +225,10 @@ def read_payloads(refs: DataFrame) -> DataFrame:
             len(payload),
             hashlib.sha256(payload).hexdigest(),
             zlib.crc32(payload[-64:]),
-            f"grey8:{WIDTH}x{len(payload) // WIDTH}:zeros={payload.count(0)}:adler={zlib.adler32(payload):08x}",
+            image_feature(payload),
         )
 
-    return _ranges(refs, read, _with(refs, "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"))
+    return _ranges(refs, "media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, tail_crc32 long, feature string", read)
 
 
 def read_member(uri: str, offset: int, length: int) -> io.BytesIO:

@@ -6,7 +6,8 @@ below the water level are clamped, the rest share what remains. Every document i
 fractional rest of the rate is met by the documents whose seeded hash is lowest, cut where their summed sizes come nearest to it.
 
 Defined results: a null text has size 0; null is a source of its own, last in order; a source without words gets target 0 and its
-documents are taken 0 words; an empty table gives an empty result; repeated rows share a hash and are taken alike.
+documents are taken 0 words; an empty table gives an empty result; repeated rows (same doc_id and text) share a hash and are taken alike; extra
+columns pass through unless they clash with a result column, in any case of letters.
 """
 
 from __future__ import annotations
@@ -15,14 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from loomtally.llm.shared import WORD, join_small
+from loomtally.llm.shared import WORD, join_small, pack, unpack, written
 
 #: Weights of the sources in order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
 SEED = 20_240_607
 #: Documents that one bucket of a source's seeded order holds on average.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 4_000
 
 
 def word_count(text: Column) -> Column:
@@ -51,9 +52,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
 
 def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """Adds size, source_size, target and copies (how often the document is taken) to df."""
-    own = [c for c in df.columns if c not in ("size", "source_size", "target", "copies")]
-    sized = df.select(*own, word_count(F.col("text")).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id")).alias("_u"))
-    light = sized.select("source", "size", "_u")
+    own, row = pack(df, ("size", "source_size", "target", "copies"))
+    body = F.col("text")
+    sized = df.select(*row, F.col("source").alias("source"), word_count(body).alias("size"), F.xxhash64(F.lit(seed), F.col("doc_id"), body).alias("_u"))
+    # The words of the texts are counted here, and once more for the result.
+    light = written(sized.select("source", "size", "_u"), "sizes")
     per_source = light.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     targets = source_targets(per_source, weights, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -84,22 +87,23 @@ def plan_mix(df: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int
     n_cuts, cut = _pinned(spark, cut)
     facts = targets.join(cut, targets["source"].eqNullSafe(cut["source"]), "left").drop(cut["source"])
 
-    out = join_small(sized, facts.select("source", "source_size", "target", "_whole", "_buckets", "_at", "_lp", "_lu"), "source", "left", n_sources)
+    sized = sized.withColumnRenamed("source", "_source")
+    facts = facts.withColumnRenamed("source", "_source")
+    out = join_small(sized, facts.select("_source", "source_size", "target", "_whole", "_buckets", "_at", "_lp", "_lu"), "_source", "left", n_sources)
     own_bucket = F.floor(bucket * F.col("_buckets") / F.lit(1 << 30)).cast("long")
     below = (bucket < F.col("_lp")) | ((bucket == F.col("_lp")) & (F.col("_u") <= F.col("_lu")))
     extra = F.when(own_bucket < F.col("_at"), 1).when((own_bucket == F.col("_at")) & below, 1).otherwise(0)
-    return out.select(*own, "size", "source_size", "target", F.least(F.lit(max_epochs), F.col("_whole") + extra).cast("long").alias("copies"))
+    return out.select(*unpack(own), "size", "source_size", "target", F.least(F.lit(max_epochs), F.col("_whole") + extra).cast("long").alias("copies"))
 
 
 def _pinned(spark, small: DataFrame) -> tuple[int, DataFrame]:
     """A table with a row per source, cut off from its lineage by the shared folder, and its number of rows."""
-    from loomtally.llm.shared import written
-
     kept = written(small.coalesce(1), "mix")
     return kept.count(), kept
 
 
 def mix(df: DataFrame, **parameters) -> DataFrame:
     """The rows of the mix: each document as often as it is taken, with the columns of df."""
-    planned = plan_mix(df, **parameters)
-    return planned.where("copies > 0").withColumn("_n", F.explode(F.expr("sequence(1, copies)"))).select(*df.columns)
+    own, row = pack(df)
+    planned = plan_mix(df.select(*row, "doc_id", "text", "source"), **parameters)
+    return planned.where("copies > 0").select("_row", F.explode(F.expr("sequence(1, copies)")).alias("_n")).select(*unpack(own))

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtally.llm import textscan
-from loomtally.llm.shared import BROADCAST_ROWS, release, written
+from loomtally.llm.shared import BROADCAST_ROWS, pack, release, unpack, written
 
 WIDTH = 5
 WINDOW_BYTES = 8 << 20
@@ -115,6 +115,8 @@ def shingle_table(df: DataFrame, text: str = "text", width: int = WIDTH) -> Data
         mine = _gathered(every, at, _first_rows(prints))
         del every
         short, counts = np.unique(_short(mine, counters), return_counts=True)
+        del mine
+        textscan.trim()
         cuts = np.searchsorted(short, np.arange(counters + 1, dtype=np.uint64) << np.uint64(32))
         low, few = short.astype(np.uint32), np.minimum(counts, 65535).astype(np.uint16)
         return pa.table(
@@ -380,10 +382,11 @@ def keep_one(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame
     judged = jaccard_components(df, text, width)
     gone = written(judged.where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias("_text_hash")).distinct(), "gone")
     # Few enough ids are broadcast; else the texts are shuffled once.
-    hashed = df.withColumn("_text_hash", F.xxhash64(F.col(text).cast("string")))
-    kept = hashed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["doc_id", "_text_hash"], "left_anti").select(*df.columns)
+    own, row = pack(df)
+    hashed = df.select(*row, F.col("doc_id").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("_text_hash"))
+    kept = hashed.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, ["doc_id", "_text_hash"], "left_anti")
     doubles = kept.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id")
     if doubles.isEmpty():
-        return kept
-    again = Window.partitionBy("doc_id", text).orderBy(F.xxhash64(*df.columns))
-    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1 or doc_id is null").drop("_n")
+        return kept.select(*unpack(own))
+    again = Window.partitionBy("doc_id", "_text_hash").orderBy(F.xxhash64("_row"))
+    return kept.withColumn("_n", F.row_number().over(again)).where("_n = 1 or doc_id is null").select(*unpack(own))

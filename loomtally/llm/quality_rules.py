@@ -4,7 +4,7 @@ Every rule is evaluated once per document: `ledger` stores what was measured and
 set of bits; applying another policy, or asking what each rule rejects alone, reads the ledger and never the texts again.
 
 Defined results: a null or empty text has no words, so it measures 0 everywhere and fails `too_few_words`. Repeated rows are
-measured alike. Other columns pass through; an input column with the name of a result column is replaced.
+measured alike. Other columns pass through; an input column with the name of a result column, in any case of letters, is replaced.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomtally.llm.shared import BLANKS
+from loomtally.llm.shared import BLANKS, pack, quoted, unpack
 
 SYMBOLS = "#*$%&|<>"
 
@@ -53,18 +53,19 @@ def _kept(text: Column, characters: str) -> Column:
 
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds MEASURES as longs. Windows of three words are compared by their 64-bit hashes, sorted within the row."""
-    own = [c for c in df.columns if c not in MEASURES]
-    body = F.coalesce(F.col(text), F.lit(""))
+    own, row = pack(df, (*MEASURES, "fail_bits"))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
     # Level by level, so that each array is computed once and then reused.
-    level = df.select(*own, body.alias("_t"))
+    level = df.select(*row, body.alias("_t"))
+    row = ["_row"] if row else []
     level = level.select(
-        *own,
+        *row,
         "_t",
         F.array_remove(F.split("_t", "[\\x20\\x09-\\x0D]+"), "").alias("_w"),
         F.filter(F.split("_t", "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0).alias("_l"),
     )
     level = level.select(
-        *own,
+        *row,
         "_t",
         "_l",
         F.size("_w").cast("long").alias("n_words"),
@@ -88,12 +89,12 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
         .alias("n_repeat_words"),
     )
     level = level.withColumn("n_lines", F.size("_l").cast("long")).withColumn("n_dup_lines", (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
-    return level.select(*own, *MEASURES)
+    return level.select(*unpack(own), *MEASURES)
 
 
 def ledger(df: DataFrame, text: str = "text") -> DataFrame:
     """MEASURES and fail_bits, in which bit i is set when rule i of RULES fails."""
-    measured = measure(df.drop("fail_bits"), text)
+    measured = measure(df, text)
     bits = [F.when(F.expr(rule), F.lit(1 << i)).otherwise(F.lit(0)) for i, rule in enumerate(RULES.values())]
     total = bits[0]
     for bit in bits[1:]:
@@ -122,6 +123,8 @@ def ablation(entries: DataFrame, policy: Policy) -> DataFrame:
 
 def keep_documents(df: DataFrame, policy: Policy = STRICT) -> DataFrame:
     """The rows that the policy keeps, with the columns of df."""
-    entries = apply_policy(ledger(df.select(F.struct(*df.columns).alias("_row"), F.col("text").alias("_text")), "_text"), policy)
+    own, row = pack(df)
+    entries = apply_policy(ledger(df.select(F.col("text").alias("_text"), F.struct(*row).alias("_all")), "_text"), policy)
     # The optimizer would copy the whole ledger into the filter once per use; it doesn't move a filter below a row number.
-    return entries.withColumn("_n", F.monotonically_increasing_id()).where("kept and _n >= 0").select("_row.*")
+    kept = entries.withColumn("_n", F.monotonically_increasing_id()).where("kept and _n >= 0")
+    return kept.select(F.col("_all")["_row"].alias("_row")).select(*unpack(own))

@@ -4,8 +4,9 @@
 key in n + 1, and only into the new shard. The key is a hash of the row's stable key, so the shard depends on that key and the
 number of shards alone: law `key`.
 
-Defined results: a null text has size 1 and crc32 0; a null key is one key like any other; rows with equal keys share a shard and
-get neighbouring slots; an empty table gives an empty result; extra columns pass through unless they clash with a result column.
+Defined results: a null text has size 1 and crc32 0; a null key is one key like any other; rows with equal keys share a shard; an empty
+table gives an empty result; extra columns pass through unless they clash with a result column, in any case of letters. Slots go by
+hashed key, size and checksum, so the texts of a key that a third of all rows has are dealt over all buckets of its shard.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from loomtally.llm.shared import pack, quoted, unpack, written
+
 SHARDS = 8
 BUCKET_ROWS = 20_000
 
@@ -45,23 +48,24 @@ def shard_udf(shards: int):
 def assign_shards(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """Adds size, text_crc32, law, shard, slot and grown_shard. Only keys, sizes and checksums are shuffled, never texts."""
     added = ("size", "text_crc32", "law", "shard", "slot", "grown_shard")
-    own = [c for c in df.columns if c not in added and c != text]
-    body = F.coalesce(F.col(text), F.lit(""))
+    own, row = pack(df, (*added, text))
+    body = F.coalesce(F.col(quoted(text)), F.lit(""))
     light = df.select(
-        *own,
+        *row,
         (F.octet_length(body) + 1).cast("long").alias("size"),
         F.crc32(body.cast("binary")).alias("text_crc32"),
         F.lit("key").alias("law"),
-        F.xxhash64(F.col(key)).alias("_h"),
+        F.xxhash64(F.col(quoted(key))).alias("_h"),
     )
     light = light.withColumn("shard", shard_udf(shards)(F.col("_h"))).withColumn("grown_shard", shard_udf(shards + 1)(F.col("_h")))
     # Slots: a shard's rows are numbered bucket by bucket, so that no task sorts a whole shard.
-    rows = df.count()
+    light = written(light, "shards")
+    rows = light.count()
     buckets = max(1, -(-rows // (shards * BUCKET_ROWS)), min(64, rows // 512))
-    light = light.withColumn("_b", F.pmod(F.xxhash64(F.lit(7), F.col("_h")), F.lit(buckets)).cast("int"))
+    light = light.withColumn("_b", F.pmod(F.xxhash64(F.lit(7), F.col("_h"), "size", "text_crc32"), F.lit(buckets)).cast("int"))
     sums = light.groupBy("shard", "_b").agg(F.count("*").alias("n"))
     offsets = sums.withColumn("_from", F.sum("n").over(Window.partitionBy("shard").orderBy("_b")) - F.col("n")).drop("n")
-    inside = Window.partitionBy("shard", "_b").orderBy(F.col(key).asc_nulls_first(), "text_crc32", "size")
+    inside = Window.partitionBy("shard", "_b").orderBy("_h", "text_crc32", "size")
     numbered = light.withColumn("_r", F.row_number().over(inside) - 1)
     out = numbered.join(offsets, ["shard", "_b"])
-    return out.select(*own, "size", "text_crc32", "law", "shard", (F.col("_from") + F.col("_r")).cast("long").alias("slot"), "grown_shard")
+    return out.select(*unpack(own), "size", "text_crc32", "law", "shard", (F.col("_from") + F.col("_r")).cast("long").alias("slot"), "grown_shard")

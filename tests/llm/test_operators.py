@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomtally.llm import bpe, chat, lm_score, media, mixing, pu_quality, quality_rules, sharding, textscan, url_rules
+from loomtally.llm import bpe, chat, lm_score, media, mixing, ngram_join, pu_quality, quality_rules, sharding, textscan, url_rules
 from loomtally.llm.queries import URL_RULES, VOCABULARY
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,9 +32,79 @@ def docs(spark, texts=TEXTS, extra=True):
     return spark.createDataFrame(rows, SCHEMA)
 
 
+CLASHES = (
+    "n_words", "kept", "Size", "shard", "slot", "n_tokens", "Score", "Digest", "offset", "target", "Host", "rule", "_f", "fail_bits", "N_Lines", "_t", "_w", "_l", "_s", "_u", "_n", "_h", "_b", "_text", "_row", "_id",
+    "_whole", "_source", "_key", "_text_hash", "Copies", "feature", "Width", "held_OUT", "_all", "a.b",
+)
+
+
 def clashing(df):
-    """With columns whose names clash with those of results."""
-    return df.withColumns({c: F.lit("own") for c in ("n_words", "kept", "size", "shard", "slot", "n_tokens", "score", "digest", "offset", "target", "host", "rule", "_f", "fail_bits")})
+    """With columns whose names clash with those of results and with those that operators use inside, in any case of letters."""
+    return df.select("*", *[F.lit("own").alias(c) for c in CLASHES])
+
+
+def test_every_operator_with_clashing_names_and_edge_rows(spark, monkeypatch):
+    """Nulls in any column, empty and very long texts (longer than a window), ties, repeated rows, empty tables, clashing names."""
+    monkeypatch.setattr(lm_score, "WINDOW_BYTES", 2000)
+    monkeypatch.setattr(bpe, "WINDOW_BYTES", 2000)
+    monkeypatch.setattr(ngram_join, "WINDOW_BYTES", 2000)
+    long = " ".join(random_texts(1, 40, 500, 90))
+    df = clashing(docs(spark, [*TEXTS, long, long, None])).cache()
+    labels = spark.createDataFrame([(None, None, None), (1, 1, 0), (2, 0, None), (4, 1, 1), (4, 1, 1)], "doc_id long, quality int, toxic int")
+    pages = clashing(spark.createDataFrame([(1, "http://net/a"), (1, "http://net/a"), (None, None), (2, ""), (3, "http://NET/" + "x" * 5000)], "page_id long, url string"))
+    rules = spark.createDataFrame([("net", "/", "block"), ("net", "/", "allow"), (None, "/", "block"), ("net", None, "block")], "host string, path string, verdict string")
+    operators = [
+        (ngram_join.jaccard_components, df), (ngram_join.keep_one, df), (lambda x: pu_quality.score_quality(x, labels), df), (lambda x: pu_quality.keep_good(x, labels), df),
+        (lambda x: media.fill_metadata(media.read_payloads(media.write_shards(x))), df), (mixing.plan_mix, df), (mixing.mix, df), (lambda x: url_rules.judge_urls(x, rules), pages),
+        (sharding.assign_shards, df), (quality_rules.ledger, df), (quality_rules.keep_documents, df), (lm_score.score_texts, df), (lambda x: bpe.encode_texts(x, VOCABULARY, digests=True), df),
+    ]
+    same = {1, 3, 6, 10}
+    for k, (operator, table) in enumerate(operators):
+        out = operator(table)
+        rows = out.collect()
+        assert len({c.lower() for c in out.columns}) == len(out.columns)
+        if k in same:
+            assert out.columns == table.columns
+        else:
+            assert len(rows) == table.count()
+        assert operator(table.limit(0)).collect() == []
+    twice = df.where("doc_id = 12").count()
+    assert twice == 1
+
+
+def test_repeated_messages_and_null_ids(spark):
+    rows = [(1, 1, None, "user", "q", 0.0), (1, 1, None, "user", "q", 0.0), (1, 2, 1, "assistant", "a", 1.0), (1, 2, 1, "assistant", "b", 1.0), (1, None, 2, "user", "lost", 9.0), (2, 5, 5, "user", "own parent", 0.0)]
+    df = spark.createDataFrame(rows, "tree long, id long, parent long, role string, text string, score double")
+    got = chat.parse_conversations(chat.format_conversations(df)).collect()
+    assert [(r.tree, [t.text for t in r.turns]) for r in got] == [(1, ["q", "a"])]
+
+
+def test_feature_equals_plain_loops():
+    for n in (64, 128, 640, 64 * 13):
+        payload = random.Random(n).randbytes(n)
+        h, mean = n // 64, sum(payload) / n
+        bits = ""
+        for i in range(8):
+            a, b = i * h // 8, max(i * h // 8 + 1, (i + 1) * h // 8)
+            for j in range(8):
+                cell = [payload[y * 64 + x] for y in range(a, b) for x in range(8 * j, 8 * j + 8)]
+                bits += str(int(sum(cell) * n > sum(payload) * len(cell)))
+        std = (sum((x - mean) ** 2 for x in payload) / n) ** 0.5
+        assert media.image_feature(payload) == f"grey8:64x{h}:mean={mean:.3f}:std={std:.3f}:ahash={int(bits, 2):016x}"
+
+
+def test_shards_close_though_equal_texts_keep_them_small(spark, monkeypatch):
+    monkeypatch.setattr(media, "SHARD_ROWS", 5)
+    refs = media.write_shards(docs(spark, ["same"] * 23, extra=False).coalesce(1)).collect()
+    assert len(refs) == 23 and len({r.shard for r in refs}) == 5
+
+
+def test_urls_above_every_character(spark):
+    rules = [*URL_RULES, ("a\x01b.net", "/\U0010ffff", "allow")]
+    urls = ["http://net/\U0010ffffx", "http://a\x01b.net/\U0010ffff\U0010ffffz", "http://a.net/", "http://a\x02\x04b.net/\U0010ffff", "http://\x01.net/\x01"]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = url_rules.judge_urls(df, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sorted((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got) == [(i, *brute_url(u, rules)) for i, u in enumerate(urls)]
 
 
 def random_texts(seed, n, vocabulary=60, longest=90):
@@ -327,17 +397,51 @@ def test_quality_classifier(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {i for i, r in got.items() if r.predicted}
     assert pu_quality.score_quality(df.limit(0), labels).collect() == []
     assert {r.score for r in pu_quality.score_quality(df.limit(3), labels.limit(0)).collect()} == {0.5}
-
-
-def test_quality_prior_is_that_of_the_table(spark, monkeypatch):
-    priors = []
-    monkeypatch.setattr(pu_quality, "fit", lambda positive, unlabelled, prior: priors.append(prior))
-    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 4 != 2]
-    features = spark.createDataFrame([(i, [0.0] * len(pu_quality.FEATURES)) for i in ids[:20]], "doc_id long, _f array<float>")
-    # Nine in ten of the table's labels are 1; those of the other ids are all 0.
-    labels = spark.createDataFrame([(i, int(k % 10 > 0 and k < 20), 0) for k, i in enumerate(ids)], "doc_id long, quality int, toxic int")
-    pu_quality.train(features, labels)
-    assert priors == [pytest.approx(0.9)]
+    assert pu_quality.keep_good(df.limit(3), labels.limit(0)).count() == 3
+
+
+def test_quality_prior_and_risk_equal_brute_force():
+    rnd = np.random.default_rng(3)
+    for share in (0.2, 0.6, 0.95):
+        good = np.repeat([True, False], [round(4000 * share), 4000 - round(4000 * share)])
+        f = rnd.normal(0, 1, (4000, pu_quality.WIDTH))
+        f[good, 0] += 4
+        p = good & (rnd.random(4000) < 0.5)
+
+        def total(of, f=f, p=p):
+            return of(f, p)
+
+        blank = lambda f=f: pu_quality.Model(f.mean(0), f.std(0), np.zeros(pu_quality.WIDTH + 1))
+        first = pu_quality._newton(total, blank(), None)
+        at = np.minimum(1023, 1024 / (1 + np.exp(-first.value(f)))).astype(int)
+        prior = pu_quality.estimated_prior(np.bincount(at, minlength=1024), np.bincount(at[p], minlength=1024))
+        # The least ratio over all thresholds that nine in ten positives pass can't be far below it.
+        assert abs(prior - share) < 0.06
+        assert prior <= min((at >= c).mean() / (at[p] >= c).mean() for c in range(1024) if (at[p] >= c).mean() > 0.9) + 0.02
+        model = pu_quality._newton(total, blank(), prior)
+        z = model.inputs(f)
+
+        def risk(w, z=z, p=p, prior=prior):
+            g = z @ w
+            negative = np.log1p(np.exp(g)).mean() - prior * np.log1p(np.exp(g[p])).mean()
+            return prior * np.log1p(np.exp(-g[p])).mean() + max(0, negative) + (pu_quality.RIDGE + pu_quality.RIDGE_SMALL / p.sum()) * (w[:-1] ** 2).sum() / 2, negative
+
+        least, negative = risk(model.weights)
+        assert negative >= -1e-9 and least < risk(np.zeros(len(model.weights)))[0]
+        if negative > 1e-3:  # within the clamp the risk is convex: no weight can be moved to lower it
+            assert all(risk(model.weights + 0.05 * s * np.eye(len(model.weights))[k])[0] > least - 1e-4 for k in range(6) for s in (1, -1))
+        assert ((model.value(f) > 0) == good).mean() > 0.9
+
+
+def test_quality_sums_and_scores_equal_numpy(spark):
+    rnd = np.random.default_rng(5)
+    f = rnd.normal(0, 1, (500, pu_quality.WIDTH)).astype(np.float32)
+    table = spark.createDataFrame([(x.tolist(), bool(k % 3 == 0)) for k, x in enumerate(f)], "_f array<float>, _p boolean").repartition(5)
+    got = pu_quality.sums(table, lambda f, p: np.concatenate([[len(f), p.sum()], f[p].sum(0)]))
+    assert got[:2].tolist() == [500, 167] and np.allclose(got[2:], f[::3].astype(float).sum(0))
+    model = pu_quality.Model(f.mean(0).astype(float), f.std(0).astype(float), rnd.normal(0, 1, pu_quality.WIDTH + 1))
+    scores = sorted(r.s for r in table.select(model.score(F.col("_f")).alias("s")).collect())
+    assert np.allclose(scores, np.sort(1 / (1 + np.exp(-model.value(f.astype(float))))))
 
 
 def test_chat_of_a_null_conversation(spark):
