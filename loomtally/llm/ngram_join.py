@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomtally.llm import textscan
-from loomtally.llm.shared import BROADCAST_ROWS, pack, release, unpack, written
+from loomtally.llm.shared import BROADCAST_ROWS, pack, release, remove, scratch_since, unpack, written
 
 WIDTH = 5
 WINDOW_BYTES = 8 << 20
@@ -379,8 +379,11 @@ def _merged(comps: DataFrame | None, found: DataFrame, spark) -> DataFrame:
 def keep_one(df: DataFrame, text: str = "text", width: int = WIDTH) -> DataFrame:
     """df with one document of each component, that with the smallest doc_id. Columns as in df. Repeated rows of it are reduced to one;
     rows with a null doc_id stay, as nothing tells them apart; so do rows of one doc_id whose texts differ, unless theirs is a copy of a smaller id's."""
+    known = scratch_since([])
     judged = jaccard_components(df, text, width)
+    used = scratch_since(known)
     gone = written(judged.where("doc_id <> component_id").select("doc_id", F.col("text_hash").alias("_text_hash")).distinct(), "gone")
+    remove(df.sparkSession, used)
     # Few enough ids are broadcast; else the texts are shuffled once.
     own, row = pack(df)
     hashed = df.select(*row, F.col("doc_id").alias("doc_id"), F.xxhash64(F.col(text).cast("string")).alias("_text_hash"))

@@ -6,14 +6,14 @@ pi * E_P[l(g)] + max(0, E_U[l(-g)] - pi * E_P[l(-g)]) with the logistic loss, so
 positives and U all training documents, taken without their labels. Labels, lang, source and doc_id are never inputs of a score.
 
 pi, the class prior, is estimated from scores alone (best bin estimation; Garg et al., 2021): a first model tells P from U, and pi is the least ratio
-of the shares of U and of P above a threshold, where both are sure enough. Labels of negatives are never read.
+of the shares of U and of P above a threshold, where both are sure enough. The first model is fitted on one half of the rows and the ratio taken from the other. Labels of negatives are never read.
 
 Both fits are Newton steps. Each is one pass over the stored features of all training rows; a pass returns sums whose number depends on the number
 of features only, so nothing is sampled and the driver holds no rows. The logistic loss makes the unbiased risk convex; a step that
-makes the risk larger or its negative part less than 0 is halved.
+makes the risk larger is halved.
 
 Defined results: null and empty texts have zeros for features and get a score like any other; equal texts have equal scores; repeated
-labels of a document must agree to count as trusted; without trusted positives every score is 0.5, and `keep_good` keeps every row;
+labels of a document must agree to count as trusted; without trusted positives in each half every score is 0.5, and `keep_good` keeps every row;
 empty tables give empty results; extra columns pass through unless they clash with a result column, in any case of letters.
 """
 
@@ -29,12 +29,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomtally.llm import textscan
-from loomtally.llm.shared import held_out, pack, quoted, unpack, written
+from loomtally.llm.shared import held_out, pack, quoted, remove, scratch_since, unpack, written
 
 THRESHOLD = 0.7
-STEPS = 12
+STEPS = 16
 #: Weight of the squared weights, and what is added to it over the number of positives.
-RIDGE, RIDGE_SMALL = 5e-2, 50.0
+RIDGE, RIDGE_SMALL = 5e-3, 10.0
 #: Bins of the scores from which the prior is estimated, and the probability that a share is further from the truth than allowed for.
 BINS = 1024
 DELTA = 0.1
@@ -43,6 +43,7 @@ FEATURES = (
 )
 #: Hash buckets of words.
 BUCKETS = 30
+PRIOR_WORDS = 300.0
 WIDTH = len(FEATURES) + BUCKETS
 CLIP = 6.0
 
@@ -108,7 +109,8 @@ def text_features(texts: pa.Array) -> np.ndarray:
             np.log1p(n / np.maximum(lines, 1)) / 5, 1 - lines_once / np.maximum(lines, 1) * (lines > 0), np.bincount(row, size > 20, rows) / n,
         ], axis=1)
         spread = np.bincount(row * BUCKETS + (hashes >> np.uint64(40)).astype(np.int64) % BUCKETS, minlength=rows * BUCKETS).reshape(rows, BUCKETS)
-        f = np.concatenate([f, spread / n[:, None]], axis=1)
+        # Shares of few words are drawn towards those of words dealt evenly.
+        f = np.concatenate([f, (spread + PRIOR_WORDS / BUCKETS) / (n + PRIOR_WORDS)[:, None]], axis=1)
         f[words == 0] = 0
         out.append(f)
     return np.concatenate(out)
@@ -193,7 +195,7 @@ def _newton(total: Callable, model: Model, prior: float | None) -> Model:
         s = 1 / (1 + np.exp(-np.clip(g, -40, 40)))
         curve = (z * (s * (1 - s))[:, None]).T @ z
         mine = z[p]
-        also = (mine * (s[p] * (1 - s[p]))[:, None]).T @ mine if prior is None else np.zeros((size, size))
+        also = (mine * (s[p] * (1 - s[p]))[:, None]).T @ mine
         # The losses of calling U negative, P negative and P positive; their gradients in the weights.
         return np.concatenate([[len(f), p.sum(), log1pexp(g).sum(), log1pexp(g[p]).sum(), log1pexp(-g[p]).sum()], z.T @ s, mine.T @ s[p], mine.sum(0), curve.ravel(), also.ravel()])
 
@@ -205,14 +207,17 @@ def _newton(total: Callable, model: Model, prior: float | None) -> Model:
         curve, also = got[5 + 3 * size :].reshape(2, size, size)
         ridge = (RIDGE + RIDGE_SMALL / np_) * np.append(np.ones(WIDTH), 0)
         penalty = (ridge * model.weights**2).sum() / 2
+        # Each part: a value, its slope and its curvature. The risk to lower is the greatest of the parts.
         if prior is None:
-            now, left = p_pos / np_ + u_neg / nu + penalty, 0.0
-            slope, bend = (gp - zp) / np_ + gu / nu, also / np_ + curve / nu
+            parts = [(p_pos / np_ + u_neg / nu, (gp - zp) / np_ + gu / nu, also / np_ + curve / nu)]
         else:
-            left = u_neg / nu - prior * p_neg / np_
-            now = prior * p_pos / np_ + max(0.0, left) + penalty
-            slope, bend = gu / nu - prior * zp / np_, curve / nu
-        if best is not None and (now > risk or left < 0):
+            # Clamped or not, the risk is convex: max(pi E_P[l(g)], E_U[l(-g)] - pi E_P[g]).
+            parts = [
+                (prior * p_pos / np_, prior * (gp - zp) / np_, prior * also / np_),
+                (prior * (p_pos - p_neg) / np_ + u_neg / nu, gu / nu - prior * zp / np_, curve / nu),
+            ]
+        now = max(value for value, _, _ in parts) + penalty
+        if best is not None and now > risk:
             step = step / 2
             model.weights = best + step
             continue
@@ -220,7 +225,14 @@ def _newton(total: Callable, model: Model, prior: float | None) -> Model:
         best, risk = model.weights, now
         if done:
             break
-        step = -np.linalg.solve(bend + np.diag(ridge + 1e-9), slope + ridge * best)
+        # The step that lowers the greatest of the parts' quadratic models: the best mixture of the parts, by its lower bound.
+        least = -np.inf
+        for share in np.linspace(0, 1, 33) if len(parts) > 1 else [1.0]:
+            value, slope, bend = (share * x + (1 - share) * y for x, y in zip(parts[0], parts[-1], strict=True))
+            slope = slope + ridge * best
+            move = -np.linalg.solve(bend + np.diag(ridge + 1e-9), slope)
+            if value + slope @ move / 2 > least:
+                least, step = value + slope @ move / 2, move
         step *= min(1.0, 10 / max(1e-9, np.abs(step).max()))
         model.weights = best + step
     model.weights = best
@@ -237,17 +249,26 @@ def estimated_prior(unlabelled: np.ndarray, positive: np.ndarray) -> float:
     return float(min(1.0, ratio[np.argmin(ratio + error / above_p[known])]))
 
 
+def _half(f: np.ndarray) -> np.ndarray:
+    """Which rows are in the first half; equal features are in one half."""
+    numbers = np.ascontiguousarray(f, np.float32).view(np.uint32).astype(np.uint64)
+    return (textscan.mix((numbers * (2 * np.arange(WIDTH, dtype=np.uint64) + np.uint64(1))).sum(axis=1)) & np.uint64(1)) == 0
+
+
 def train(table: DataFrame) -> tuple[Model | None, float]:
     """The model and the prior from a table of _f and _p (whether it is a trusted positive); no model without positives."""
     total = lambda of: sums(table, of)
     got = total(lambda f, p: np.concatenate([[len(f), p.sum()], f.sum(0), (f * f).sum(0)]))
-    if not len(got) or not got[1]:
+    halves = total(lambda f, p: np.array([p.sum(), p[_half(f)].sum()], np.float64))
+    if not len(got) or not 0 < halves[1] < halves[0]:
         return None, 0.5
     mean = got[2 : 2 + WIDTH] / got[0]
     scale = np.sqrt(np.maximum(0, got[2 + WIDTH :] / got[0] - mean**2)) + 1e-3
-    first = _newton(total, Model(mean, scale, np.zeros(WIDTH + 1)), None)
+    # The prior is estimated from rows that the first model has not seen, nor any equal ones.
+    first = _newton(lambda of: total(lambda f, p: of(f[h := _half(f)], p[h])), Model(mean, scale, np.zeros(WIDTH + 1)), None)
 
     def bins(f: np.ndarray, p: np.ndarray) -> np.ndarray:
+        f, p = f[h := ~_half(f)], p[h]
         at = np.minimum(BINS - 1, BINS / (1 + np.exp(-np.clip(first.value(f), -40, 40)))).astype(np.int64)
         return np.concatenate([np.bincount(at, minlength=BINS), np.bincount(at[p], minlength=BINS)]).astype(np.float64)
 
@@ -265,10 +286,17 @@ def training_table(features: DataFrame, key: Column, labels: DataFrame, label_ke
     return written(joined.select("_f", F.col("_key").isNotNull().alias("_p")), "training")
 
 
+def _trained(features: DataFrame, key: Column, labels: DataFrame) -> Model | None:
+    known = scratch_since([])
+    model, _ = train(training_table(features, key, labels))
+    remove(features.sparkSession, scratch_since(known))
+    return model
+
+
 def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """df without its text, with held_out, score and predicted."""
     features, own = measured(df, text, ("held_out", "score", "predicted"))
-    model, _ = train(training_table(features, F.col("_row")[key], labels))
+    model = _trained(features, F.col("_row")[key], labels)
     score = F.lit(0.5) if model is None else model.score(F.col("_f"))
     out = features.select("_row", score.alias("score"))
     return out.select(*unpack(own), held_out(F.col("_row")[key], 4).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
@@ -277,5 +305,5 @@ def score_quality(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: s
 def keep_good(df: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows predicted 1, with the columns of df. The model is fitted on df's own rows."""
     features, own = measured(df, text, keep_text=True)
-    model, _ = train(training_table(features, F.col("_row")[key], labels))
+    model = _trained(features, F.col("_row")[key], labels)
     return (features if model is None else features.where(model.score(F.col("_f")) >= THRESHOLD)).select(*unpack(own))

@@ -30,20 +30,32 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Scratch folders that have not been removed yet, in the order in which they were made.
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder of the shared one, removed when the driver ends."""
+    """A fresh folder of the shared one, removed when the driver ends if not before."""
     path = f"{shared_folder(spark)}/loomtally/{name}-{uuid.uuid4().hex}"
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    _scratch.append(path)
+    atexit.register(remove, spark, [path])
+    return path
 
-    def remove() -> None:
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Removes those of the scratch folders that are still there. Nothing that is yet to be computed may read them."""
+    for path in [p for p in paths if p in _scratch]:
+        _scratch.remove(path)
         try:
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # the JVM may have gone first
             pass
 
-    atexit.register(remove)
-    return path
+
+def scratch_since(known: list[str]) -> list[str]:
+    """The scratch folders made since `known`, an earlier answer to scratch_since([])."""
+    return [p for p in _scratch if p not in known]
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
