@@ -3,7 +3,7 @@
 One alternation of patterns partitions a text into lexemes: raw strings, strings, comments, ordinary runs and single characters, in the
 order in which a scanner would try them. Every string becomes a mark, every comment another, once per line that it covers; what
 is left between newlines then tells code, comment and blank lines apart. No Python runs, but for texts whose comments may be
-nested more deeply than the pattern is expanded.
+nested more than DEPTH deep, to which the pattern is expanded.
 """
 
 from __future__ import annotations
@@ -113,25 +113,62 @@ def classify(lines: Column) -> Column:
     return F.struct(total.alias("lines"), blank.alias("blanks"), (total - blank - code).alias("comments"), code.alias("code"))
 
 
-def _deep(text: Column, syntax: Syntax) -> Column:
-    """Whether comments may be nested beyond DEPTH: there are more starts than that."""
-    starts = "|".join(quoted(a) for a, _ in syntax.block)
-    return F.regexp_count(text, F.lit(starts)) > DEPTH
+def nesting_bound(text: Column, syntax: Syntax) -> Column:
+    """No comment of the text is nested more deeply than this: the deepest level that starts and ends reach if strings hide none of them. An end
+    that overlaps a start lowers nothing, since a scanner outside of comments sees the start alone."""
+    starts, ends = [a for a, _ in syntax.block], [b for _, b in syntax.block]
+    joint = {e + a[k:] for e in ends for a in starts for k in range(1, len(a)) if e.endswith(a[:k])}
+    marks = F.regexp_extract_all(text, F.lit("|".join(quoted(m) for m in [*sorted(joint, key=len, reverse=True), *starts, *ends])), F.lit(0))
+
+    def step(acc: Column, mark: Column) -> Column:
+        now = F.when(mark.isin(*starts), acc["now"] + 1).when(mark.isin(*joint), F.greatest(acc["now"], F.lit(1))) if joint else F.when(mark.isin(*starts), acc["now"] + 1)
+        now = now.otherwise(F.greatest(acc["now"] - 1, F.lit(0)))
+        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
+
+    return F.aggregate(marks, F.struct(F.lit(0).alias("now"), F.lit(0).alias("top")), step, lambda acc: acc["top"])
+
+
+def mark_by_jumps(text: str, syntax: Syntax) -> str:
+    """marked_text of one text whatever its nesting: outside of comments one lexeme after another, inside from one start or end to the next."""
+    python = lambda p: p.replace(r"\z", r"\Z").replace("(?<d>", "(?P<d>").replace("(?<h>", "(?P<h>").replace(r"\k<d>", "(?P=d)").replace(r"\k<h>", "(?P=h)").replace("(?dm:", "(?m:")
+    text = text.translate({1: 3, 2: 3})
+    flat = Syntax(**{**{f: getattr(syntax, f) for f in syntax.__dataclass_fields__}, "nestable": False})
+    lexeme, (string, comment) = re.compile(python(lexeme_pattern(flat))), (re.compile(python(p)) for p in _kind_pattern(syntax))
+    opens = re.compile("|".join(quoted(a) for a, _ in syntax.block))
+    either = re.compile("|".join(f"({quoted(a)})|{quoted(b)}" for a, b in syntax.block))
+    out, at = [], 0
+    while at < len(text):
+        found = lexeme.match(text, at)
+        end, kind = found.end(), None
+        if string.match(found[0]):
+            kind = STRING
+        elif comment.match(found[0]):
+            kind = COMMENT
+            if (first := opens.match(text, at)) and found[0].startswith(first[0]):
+                depth, end = 1, first.end()
+                while depth and (jump := either.search(text, end)):
+                    depth, end = depth + (1 if jump.lastindex else -1), jump.end()
+                end = len(text) if depth else end
+        part = text[at:end]
+        out.append(part if kind is None else kind + re.sub(r"[^\n]+", "", part).replace("\n", "\n" + kind))
+        at = end
+    return "".join(out)
 
 
 def line_stats(text: Column, syntax: Syntax) -> Column:
     """A struct of lines, blanks, comments and code of each text under one syntax; null for a null text."""
-    native = classify(line_array(text, marked_text(without_last_newline(text), syntax)))
-    if not syntax.nestable:
-        return F.when(text.isNotNull(), native)
-    deep = _deep(text, syntax)
+    body = without_last_newline(text)
+    marked = marked_text(body, syntax)
+    if syntax.nestable:
+        deep = nesting_bound(body, syntax) > DEPTH
 
-    @F.pandas_udf("lines long, blanks long, comments long, code long")
-    def scan(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([scan_lines(t, syntax) if t is not None else (None,) * 4 for t in texts], columns=list(MEASURES), dtype="object").astype("Int64")
+        @F.pandas_udf("string")
+        def mark(texts: pd.Series) -> pd.Series:
+            return texts.map(lambda t: None if t is None else mark_by_jumps(t, syntax))
 
-    # Texts that the pattern covers are null to the function.
-    return F.when(deep, scan(F.when(deep, text))).when(text.isNotNull(), native)
+        # Texts that the pattern covers are null to the function.
+        marked = F.when(deep, mark(F.when(deep, body))).otherwise(marked)
+    return F.when(text.isNotNull(), classify(line_array(text, marked)))
 
 
 def line_stats_mixed(text: Column, lang_id: Column, ids: list[int] | None = None) -> Column:
@@ -148,82 +185,3 @@ def line_stats_mixed(text: Column, lang_id: Column, ids: list[int] | None = None
         stats = line_stats(text, syntax)
         out = F.when(hit, stats) if out is None else out.when(hit, stats)
     return out
-
-
-def scan_lines(text: str, syntax: Syntax) -> tuple[int, int, int, int]:
-    """The same by one scan, character by character: for deep nesting, and as the yardstick of the patterns."""
-    lines = text.split("\n")
-    if lines[-1] == "":
-        lines.pop()
-    strings = sorted(syntax.strings, key=lambda s: -len(s.start))
-    open_string, raw_end, depth, block_ends = None, None, 0, [b for _, b in syntax.block]
-    blanks = comments = codes = 0
-    only_end: str | None = None
-    for line in lines:
-        code, comment = open_string is not None or raw_end is not None, depth > 0
-        i, seen, n = 0, False, len(line)
-        while i < n:
-            starts = lambda m, i=i: line.startswith(m, i)
-            if open_string is not None:
-                code = seen = True
-                if open_string.escape and starts(open_string.escape):
-                    i += 2
-                elif starts(open_string.end):
-                    i += len(open_string.end)
-                    open_string = None
-                else:
-                    i += 1
-                continue
-            if raw_end is not None:
-                code = seen = True
-                if starts(raw_end):
-                    i += len(raw_end)
-                    raw_end = None
-                else:
-                    i += 1
-                continue
-            if depth:
-                comment = seen = True
-                up = next((a for a, _ in syntax.block if starts(a)), None) if syntax.nestable else None
-                down = next((b for b in (block_ends if syntax.nestable else [only_end]) if starts(b)), None)
-                if up:
-                    depth, i = depth + 1, i + len(up)
-                elif down:
-                    depth, i = depth - 1, i + len(down)
-                else:
-                    i += 1
-                continue
-            if syntax.raw == "cpp" and starts('R"'):
-                code = seen = True
-                m = re.match(r'R"([^(\n]*)\(', line[i:])
-                raw_end, i = (f'){m[1]}"', i + m.end()) if m else (None, i + 2)
-                continue
-            if syntax.raw == "rust" and (m := re.match(r'r(#*)"', line[i:])):
-                code = seen = True
-                raw_end, i = ('"' + m[1] if m[1] else None), i + m.end()
-                continue
-            s = next((s for s in strings if starts(s.start)), None)
-            if s:
-                code = seen = True
-                open_string, i = s, i + len(s.start)
-                continue
-            b = next(((a, e) for a, e in syntax.block if starts(a)), None)
-            if b:
-                comment = seen = True
-                depth, only_end, i = 1, b[1], i + len(b[0])
-                continue
-            if any(starts(m) for m in syntax.line) or (not seen and any(starts(m) for m in syntax.line_start)):
-                comment = seen = True
-                break
-            if line[i] not in " \t\f\r":
-                code = seen = True
-            i += 1
-        if open_string is not None and not open_string.multiline:
-            open_string = None
-        if code:
-            codes += 1
-        elif comment:
-            comments += 1
-        else:
-            blanks += 1
-    return len(lines), blanks, comments, codes

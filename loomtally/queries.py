@@ -61,6 +61,7 @@ def _q(text: str) -> str:
     return "(" + " || chr(10) || ".join(f"'{p}'" for p in parts) + ")"
 
 
+_EXT_SQL = f"[{', '.join(f"'{e}'" for e in EXTS)}][cast(doc_id % 8 as int) + 1]"
 SOURCES_SQL = f"""
   select doc_id, ext, (case when doc_id % 50 = 7 then 'node_modules/' when doc_id % 50 = 8 then 'BUILD/' when doc_id % 50 = 9 then '' else 'src/' end)
     || source || '/' || (case when doc_id % 40 = 11 then 'Makefile' when doc_id % 40 = 12 then '.gitignore'
@@ -68,7 +69,7 @@ SOURCES_SQL = f"""
     (case ext {' '.join(f"when '{e}' then {_q(h)}" for e, h in HEADS.items())} else '' end)
     || (case ext {' '.join(f"when '{e}' then replace(text, {_q(a)}, {_q(b)})" for e, (a, b) in BODIES.items())} else text end)
     || (case when doc_id % 2 = 0 then chr(10) else '' end) || (case when doc_id % 97 = 5 then chr(0) else '' end) as text
-  from (select *, [{', '.join(f"'{e}'" for e in EXTS)}][cast(doc_id % 8 as int) + 1] as ext from documents)"""
+  from (select *, {_EXT_SQL} as ext from documents)"""
 
 _CJK = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES)
 
@@ -223,7 +224,7 @@ def binary_sniff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("ext").agg(F.count("*").alias("files"), F.count_if("b").alias("binary_files"))
 
 
-MODEL_INPUTS = ["LLAMA3", "llama2", "gpt-4o", "hy3", "nonexistent", "DeepSeek-V4", "glm4", "Mixtral"]
+MODEL_INPUTS = ["Claude", "QWEN", "no such model", "DeepSeek-V4", "glm4", "Mixtral", "", "chatgpt"]
 
 
 def model_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -348,10 +349,19 @@ def oracle_sql() -> dict[str, str]:
     out["line_stats_markdown"] = rolled(stats_sql(f"select lang, {tokens_sql('text')} as tokens, case when text <> '' then {last_newline_sql('text')} end as m from documents", "lang, tokens"), "lang")
     out["line_stats_html"] = stats_sql(f"select page_id, {marks_sql('html', *_LEXEMES['html'])} as m from pages", "page_id")
     named = {"py": "python", "rs": "rust"}
+    every = lambda e: SOURCES_SQL.replace(_EXT_SQL, f"'{e}'")  # noqa: E731  every document as a file of this extension
     for e in HEADS:
-        out[f"line_stats_{named.get(e, e)}"] = stats_sql(f"select doc_id, {marks_sql('text', *_LEXEMES[e])} as m from ({SOURCES_SQL}) where ext = '{e}'", "doc_id")
+        out[f"line_stats_{named.get(e, e)}"] = stats_sql(f"select doc_id, {marks_sql('text', *_LEXEMES[e])} as m from ({every(e)})", "doc_id")
     generic = (rf"{_DQ}|{_SQ}|" + r'[^"' + r"''\n]+|" + _ANY, r"""^["'']""", None)
-    out["line_stats_generic"] = stats_sql(f"select doc_id, {marks_sql('text', *generic)} as m from ({SOURCES_SQL}) where ext = 'zzz'", "doc_id")
+    out["line_stats_generic"] = stats_sql(f"select doc_id, {marks_sql('text', *generic)} as m from ({every('zzz')})", "doc_id")
+    # The text of line_stats_nested has comments two deep at most, that of line_stats_cpp raw strings with one delimiter.
+    inner = r"/\*(?:[^*/]|\*+[^*/]|/[^*])*?\*/"
+    nested = (rf'"""(?:[^\\]|\\{_ANY})*?(?:"""|\\?\z)|{_DQ}|/\*(?:{inner}|[^*/]|\*[^/]|/[^*])*?(?:\*/|\z)|//[^\n]*|' + r'[^"/\n]+|' + _ANY, '^"', r"^(?:/\*|//)")
+    body = "'/* a /* b */' || chr(10) || ' still */' || chr(10) || replace(text, '. ', chr(10) || '/* x /* y */ */' || chr(10))"
+    out["line_stats_nested"] = stats_sql(f"select doc_id, {marks_sql('text', *nested)} as m from (select doc_id, {body} as text from documents)", "doc_id")
+    raw = (rf'R"x\({_ANY}*?(?:\)x"|\z)|R"|{_DQ}|{_SQ}|/\*{_ANY}*?(?:\*/|\z)|//[^\n]*|' + r'[^R"' + r"''/\n]+|" + _ANY, r"""^(?:R?"|'')""", r"^(?:/\*|//)")
+    body = "'auto s = R\"x(' || chr(10) || '// no )\"' || chr(10) || ')x\";' || chr(10) || replace(text, '. ', chr(10) || '// ')"
+    out["line_stats_cpp"] = stats_sql(f"select doc_id, {marks_sql('text', *raw)} as m from (select doc_id, {body} as text from documents)", "doc_id")
     detected = _detected_sql()
     out["lang_detect"] = f"select doc_id, name, ext, lang, label from ({detected})"
     make = (rf"{_DQ}|{_SQ}|#[^\n]*|" + r'[^"' + r"''#\n]+|" + _ANY, r"""^["'']""", "^#")
@@ -373,7 +383,7 @@ def oracle_sql() -> dict[str, str]:
     roots = " union all ".join(f"select '{n}' as root, {tokens_sql(c)} as t from {n}" for n, c in (("documents", "text"), ("pages", "html"), ("benchmark", "text")))
     out["union_roots"] = f"select root, cast(grouping(root) as int) as is_total, count(*) as files, cast(sum(t) as bigint) as tokens from ({roots}) group by rollup(root)"
     out["format_numbers"] = "select doc_id, format('{:,}', n_chars * 1000 + doc_id) as text from documents"
-    out["base64_ranks"] = "select doc_id, rtrim(base64(encode(w)), '=') as b64, w as decoded from (select doc_id, left(text, 11) as w from documents)"
+    out["base64_ranks"] = "select doc_id, rtrim(base64(encode(text)), '=') as b64, text as decoded from documents"
     out["paths_sorted"] = f"select doc_id, path from ({SOURCES_SQL})"
     out["byte_pieces"] = "select id, '<0x' || upper(printf('%X', id)) || '>' as piece, case when id < 256 then id end as value from (select range as id from range(300))"
     return out
