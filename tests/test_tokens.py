@@ -7,7 +7,8 @@ import random
 from pyspark.sql import functions as F
 
 from loomtally.functions.tokens import CJK_RANGES, approx_tokens, approx_tokens_binary
-from loomtally.operators.vocab_tokens import Pieces, bpe_count, bpe_udf, pieces_udf
+from loomtally.operators import vocab_tokens
+from loomtally.operators.vocab_tokens import PairRanks, Pieces, bpe_count, bpe_udf, pieces_udf
 from loomtally.queries import hand_made_pieces, hand_made_ranks
 
 
@@ -52,15 +53,52 @@ def test_bpe(spark):
     rnd, ranks = random.Random(1), hand_made_ranks()
     texts = ["".join(rnd.choice("etaoin hdg é") for _ in range(rnd.randint(0, 60))) for _ in range(300)]
     assert [bpe_count(t.encode(), ranks) for t in texts] == [textbook(t.encode(), ranks) for t in texts]
+    together = PairRanks(ranks)
+    assert together.rising and together.count_all([t.encode() for t in texts]).tolist() == [textbook(t.encode(), ranks) for t in texts]
+    for seed in range(20):  # vocabularies of a few letters: chains, runs, and ranks that do not rise
+        rnd = random.Random(seed)
+        tokens = list(dict.fromkeys("".join(rnd.choice("ab") for _ in range(rnd.randint(2, 4))).encode() for _ in range(9)))
+        tokens = sorted(tokens, key=len) if seed % 2 else tokens
+        own = {bytes([b]): b for b in range(256)} | {t: 256 + i for i, t in enumerate(tokens)}
+        runs = [("".join(rnd.choice("aab") for _ in range(rnd.randint(0, 40)))).encode() for _ in range(40)]
+        assert PairRanks(own).count_all(runs).tolist() == [textbook(t, own) for t in runs] == [bpe_count(t, own) for t in runs]
+    assert any(PairRanks({b"a": 0, b"ab": 1, b"abb": 2}).rising for _ in "x") and not PairRanks({b"abb": 0, b"ab": 1}).rising
     df = spark.createDataFrame([(t,) for t in [*texts[:20], None]], "t string")
     assert [r[0] for r in df.select(bpe_udf(spark, ranks)(F.col("t"))).collect()] == [bpe_count(t.encode(), ranks) for t in texts[:20]] + [None]
 
 
-def test_pieces(spark):
-    rows = [(b"<unk>", -10.0, 2), (b"a", -1.0, 1), (b"ab", -1.5, 1), (b"b", -1.0, 1), ("▁a".encode(), -1.0, 1), (b"<0x63>", -2.0, 6)]
-    p = Pieces(rows)
-    assert p.count(b"ab") == 1 and p.count(b"ba") == 2 and p.count(b" a") == 1 and p.count(b"c") == 1 and p.count(b"a\nb\t") == 2 and p.count(b"") == 0
-    df = spark.createDataFrame([("ab a",), (None,)], "t string")
+def best_cut(word: bytes, rows, memo):
+    """The best segmentation by trying every last piece: (score, last pieces' lengths from the end, number of pieces)."""
+    normal, single = {}, {}
+    for piece, score, kind in rows:
+        if kind == 1:
+            normal.setdefault(piece, score)
+        elif kind == 6:
+            single[int(piece[3:-1], 16)] = score
+    unknown = next((s for _, s, k in reversed(rows) if k == 2), None)
+    table = {0: (0.0, 0)}
+    for j in range(1, len(word) + 1):
+        ways = [(table[i][0] + normal[word[i:j]], j - i, table[i][1] + 1) for i in range(j) if i in table and word[i:j] in normal]
+        alone = single.get(word[j - 1], unknown)
+        if alone is not None and j - 1 in table:
+            ways.append((table[j - 1][0] + alone, 0, table[j - 1][1] + 1))
+        if ways:
+            top = max(ways)
+            table[j] = (top[0], top[2])
+    return table[len(word)][1] if len(word) in table else -(-len(word) // 4)
+
+
+def test_pieces(spark, monkeypatch):
+    rows = [(b"<unk>", -10.0, 2), (b"x", -1.0, 1), (b"xy", -1.5, 1), (b"y", -1.0, 1), ("▁x".encode(), -1.0, 1), (b"<0x7A>", -2.0, 6)]
+    assert Pieces(rows).count_all([b"xy", b"yx", b" x", b"z", b"x\ny\t", b""]).tolist() == [1, 2, 1, 1, 2, 0]
+    df = spark.createDataFrame([("xy x",), (None,)], "t string")
     assert [r[0] for r in df.select(pieces_udf(spark, rows)(F.col("t"))).collect()] == [2, None]
-    assert Pieces(hand_made_pieces()).count("tain ö".encode()) > 0
-    assert Pieces([(b"zz", -1.0, 1)]).count(b"a" * 9) == 3
+    assert Pieces([(b"zz", -1.0, 1)]).count_all([b"a" * 9]).tolist() == [3]
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("tainö ho") for _ in range(rnd.randint(1, 50))).replace(" ", "▁").encode() for _ in range(200)]
+    for own in (hand_made_pieces(), rows, [(b"t", -1.0, 1), (b"ta", -2.0, 1), (b"a", -1.0, 1), (b"tai", -3.0, 1)], rows[1:]):
+        for cells in (1 << 20, 64):
+            monkeypatch.setattr(vocab_tokens, "BLOCK_CELLS", cells)
+            assert Pieces(own).count_all(words).tolist() == [best_cut(w, own, {}) for w in words]
+    long = b"ta" * 3000
+    assert Pieces(hand_made_pieces()).count_all([long]).tolist() == [sum(best_cut(long[k : k + 2048], hand_made_pieces(), {}) for k in range(0, len(long), 2048))]
