@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import re
 import sys
 
 from loomtally.operators.report import parse_format
@@ -31,13 +32,19 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def spelled(argv: list[str]) -> list[str]:
+    """-x=VALUE as -xVALUE, up to a lone --."""
+    stop = argv.index("--") if "--" in argv else len(argv)
+    return [re.sub(r"^-([a-zA-Z])=", r"-\1", a) for a in argv[:stop]] + argv[stop:]
+
+
 def options(args: argparse.Namespace) -> Options:
     base = load_config() if config_path().exists() else DEFAULTS
     return base.merged(ignore=tuple(args.ignore), exts=tuple(args.ext), model=args.model, format=args.format, partitions=args.jobs, verbose=args.verbose or None)
 
 
 def main(argv: list[str] | None = None) -> int:
-    args = parser().parse_args(argv)
+    args = parser().parse_args(spelled(sys.argv[1:] if argv is None else argv))
     if args.init:
         print(write_default_config())
         return 0
@@ -55,9 +62,12 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     from pyspark.sql import SparkSession
 
-    from loomtally.plans.count import count
+    from loomtally.plans.count import count, diagnostics
 
     spark = SparkSession.builder.master(f"local[{args.jobs or '*'}]").config("spark.ui.enabled", "false").getOrCreate()
+    if chosen.verbose:
+        for line in diagnostics(spark, args.paths, chosen):
+            print(line, file=sys.stderr)
     out = count(spark, args.paths, chosen)
     print(out, end="") if out else print("no files found", file=sys.stderr)
     return 0

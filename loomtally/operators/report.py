@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MEASURES = ("tokens", "lines", "blanks", "comments", "code")
+# The headings of a report.
 HEADS = ("Language", "Files", "Tokens", "Lines", "Blanks", "Comments", "Code")
 FORMATS = ("table", "markdown", "json")
 
@@ -61,7 +62,7 @@ def render_table(rows: list[tuple], total: tuple) -> str:
 def render_markdown(rows: list[tuple], total: tuple) -> str:
     line = lambda cells: "| " + " | ".join(cells) + " |"
     last = [f"**{c}**" if i == 0 else c for i, c in enumerate(_numbers(("Total", *total[1:])))]
-    return "\n".join([line(HEADS), line(["---", *["---:"] * 6]), *[line(_numbers(r)) for r in rows], line(last)]) + "\n"
+    return "\n".join([line(HEADS), line(["---"] * 7), *[line(_numbers(r)) for r in rows], line(last)]) + "\n"
 
 
 def render_json(rows: list[tuple], total: tuple, model: str, tool: str, version: str) -> str:

@@ -78,3 +78,23 @@ def count(spark: SparkSession, roots: Iterable[str], options: Options = DEFAULTS
     if not rows:
         return ""
     return render(spark.createDataFrame(rows, report.schema), fmt, model.name if model else options.model)
+
+
+def diagnostics(spark: SparkSession, roots: Iterable[str], options: Options = DEFAULTS) -> list[str]:
+    """What a verbose run tells: repositories and their rules, files that are listed, wanted, binary or can't be read, and the tokenizer."""
+    roots = list(roots)
+    repositories = Repositories(roots) if options.use_vcs else None
+    paths = list_files(roots, options.ignore_dirs, repositories)
+    files = wanted(paths_frame(spark, paths, options.partitions), Options(exts=options.exts, ignore_langs=options.ignore_langs))
+    chosen = files.count()
+    read = {r.is_binary: r["count"] for r in read_contents(files.select("path")).groupBy("is_binary").count().collect()}
+    model = resolve(options.model)
+    kind = choose_tokenizer(model, options.tokenizer_dir)[0] if model else "none"
+    return [
+        f"repository rules: {'read' if repositories else 'not used'}",
+        f"files listed: {len(paths)}",
+        f"files of wanted languages: {chosen}",
+        f"binary files skipped: {read.get(True, 0)}",
+        f"files that could not be read: {chosen - sum(read.values())}",
+        f"model: {model.name if model else options.model}, tokens by {kind}",
+    ]
