@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomtally.llm import textscan
-from loomtally.llm.shared import held_out, release, written
+from loomtally.llm.shared import held_out, release, remove, scratch_since, written
 
 FILTER_BITS = 1 << 27
 HEAD = 1 << 20
@@ -152,7 +152,15 @@ def count_ngrams(df: DataFrame, text: str = "text", filter_bits: int = FILTER_BI
                 words, n = np.unique(tokens, return_counts=True)
                 pairs, m = np.unique(_pairs(tokens, at), return_counts=True)
                 a, b = cut(words), cut(pairs)
-                low, few, n = pairs.astype(np.uint32), np.minimum(m, 65535).astype(np.uint16), n.astype(np.uint32)
+                # Counts of pairs are two bytes wide; a pair that a window has more often stands there several times.
+                times = (m - 1) // 65535 + 1
+                if (times > 1).any():
+                    last = np.cumsum(times) - 1
+                    pairs, m_last = np.repeat(pairs, times), m - (times - 1) * 65535
+                    m = np.full(len(pairs), 65535)
+                    m[last] = m_last
+                    b = cut(pairs)
+                low, few, n = pairs.astype(np.uint32), m.astype(np.uint16), n.astype(np.uint32)
                 blobs = [[x[c[k] : c[k + 1]].tobytes() for k in range(fragments)] for x, c in ((words, a), (n, a), (low, b), (few, b))]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(fragments, dtype=np.int32)), *[pa.array(x, pa.binary()) for x in blobs]], ["frag", "words", "n", "pairs", "m"])
 
@@ -224,7 +232,9 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", modulus:
     """key, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; learns from the rows that are not held out."""
     spark = df.sparkSession
     rows = df.select(F.col(key).cast("long").alias("doc_id"), held_out(F.col(key), modulus).alias("held_out"), F.col(text).cast("string").alias("text"))
+    known = scratch_since([])
     counts, fragments = count_ngrams(rows.where("not held_out"), "text", filter_bits)
+    counted = scratch_since(known)
     facts = counts.agg(F.sum("tokens").alias("n"), F.sum("types").alias("v")).first()
     tokens, types = facts.n or 0, facts.v or 0
     frequent = spark.sparkContext.broadcast(frequent_words(counts, head))
@@ -239,7 +249,10 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", modulus:
                 part = batch.slice(first, last - first)
                 facts = pa.StructArray.from_arrays([part.column(0), part.column(1), pa.array(np.diff(at))], ["doc_id", "held_out", "n_tokens"])
                 docs = pa.ListArray.from_arrays(pa.array([0, last - first], pa.int32()), facts)
-                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), docs, *[pa.array([x], pa.binary()) for x in (unique.tobytes(), _planes(which))]], ["win", "docs", "words", "which"])
+                blobs = [pa.array([x], pa.binary()) for x in (unique.tobytes(), _planes(which))]
+                del every, unique, which
+                textscan.trim()
+                yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), docs, *blobs], ["win", "docs", "words", "which"])
 
     def read(docs: pa.Array, words: bytes, which: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """A window's distinct words, each token's place among them, hashes of its pairs, and where each row begins."""
@@ -273,6 +286,7 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", modulus:
             chunk = known["chunk"][0].as_py()
             single, pair = _own_levels(chunk, _single(own)), _own_levels(chunk, pairs)
         blobs = {k: pa.array([x[c[i] : c[i + 1]].tobytes() for i in range(asked.num_rows)], pa.binary()) for k, x, c in (("n", n, a), ("single", single, a), ("pair", pair, b))}
+        textscan.trim()
         return pa.table({"win": asked["win"], "frag": asked["frag"], **blobs})
 
     def finish(key: tuple, own: pa.Table, told: pa.Table) -> pa.Table:
@@ -296,6 +310,8 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", modulus:
         before[at[:-1]] = single[np.searchsorted(unique, END)]
         pair = _quantised(answer("pair", np.uint8))[np.unique(pairs, return_inverse=True)[1]]
         smooth = np.minimum(1.0, (np.minimum(pair, before) + MU * ((single + 1) / whole)[which]) / (before + MU))
+        del pair, before, single, pairs
+        textscan.trim()
         return pa.table({
             "doc_id": docs.field("doc_id"), "held_out": docs.field("held_out"), "n_tokens": docs.field("n_tokens"), "n_known": pa.array(known),
             "train_tokens": pa.array(np.full(len(docs), tokens)), "base_score": pa.array(base), "score": pa.array(np.bincount(row, np.log10(smooth), len(docs))),
@@ -304,7 +320,12 @@ def score_texts(df: DataFrame, key: str = "doc_id", text: str = "text", modulus:
     docs_ddl = "array<struct<doc_id:bigint,held_out:boolean,n_tokens:bigint>>"
     own = written(rows.mapInArrow(window, f"win string, docs {docs_ddl}, words binary, which binary"), "windows")
     asked = own.mapInArrow(ask, "win string, frag int, words binary, pairs binary")
+    # Answers are written, so that the questions' shuffle is gone before the windows are shuffled.
     told = asked.groupBy("frag").cogroup(counts.select("frag", "words", "n", "chunk").groupBy("frag")).applyInArrow(look_up, "win string, frag int, n binary, single binary, pair binary")
+    told = written(told, "told")
+    del asked
+    remove(spark, counted)
+    release(spark)
     return own.groupBy("win").cogroup(told.groupBy("win")).applyInArrow(
         finish, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )

@@ -84,9 +84,11 @@ def unpack(own: list[str]) -> list[Column]:
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of plans that are no longer referenced."""
     import gc
+    import time
 
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    time.sleep(0.5)  # the cleaner works on its own
 
 
 def join_small(large: DataFrame, small: DataFrame, key: str, how: str = "left", rows: int | None = None) -> DataFrame:
