@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomtally.functions import scalars
-from loomtally.functions.languages import BY_NAME, GENERIC, LANGUAGES, first_claims
+from loomtally.functions.languages import BY_NAME, GENERIC
 from loomtally.functions.lines import MEASURES, line_stats, line_stats_mixed
-from loomtally.functions.models import alias_rows, resolve_frame
+from loomtally.functions.models import resolve_frame
 from loomtally.functions.tokens import CJK_RANGES, approx_tokens
 from loomtally.operators import detect, ignore, report
 from loomtally.operators.vocab_tokens import bpe_udf, pieces_udf
@@ -304,20 +304,14 @@ def queries() -> dict[str, Query]:
     return named | {f"line_stats_{names.get(e, e)}": _line_stats_of(e) for e in NAMES if e != "md"}
 
 
-def _values(rows: list[tuple]) -> str:
-    cell = lambda v: "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
-    return "(values " + ", ".join("(" + ", ".join(map(cell, r)) + ")" for r in rows) + ")"
-
-
 def _detected_sql() -> str:
-    names = [(lang.id, lang.name) for lang in LANGUAGES]
+    """Labels of the synthetic sources; written out by hand from their file names and extensions, not taken from the registry."""
+    named = " ".join(f"when '{e}' then '{n}'" for e, n in NAMES.items())
     return f"""
-  select s.*, coalesce(bn.id, be.id) as lang_id, n.name as lang, coalesce(n.name, upper(s.ext), 'Other') as label
-  from (select doc_id, path, text, name, nullif(lower(regexp_extract(name, '^(?s:.+)\\.([^.]+)$', 1)), '') as ext
-        from (select doc_id, path, text, string_split(path, '/')[-1] as name from ({SOURCES_SQL}))) s
-  left join {_values(first_claims("filenames"))} bn(key, id) on lower(s.name) = bn.key
-  left join {_values(first_claims("exts"))} be(key, id) on s.ext = be.key
-  left join {_values(names)} n(id, name) on n.id = coalesce(bn.id, be.id)"""
+  select *, coalesce(lang, upper(ext), 'Other') as label
+  from (select *, case when lower(name) = 'makefile' then 'Makefile' else case ext {named} end end as lang
+        from (select doc_id, path, text, name, nullif(lower(regexp_extract(name, '^(?s:.+)\\.([^.]+)$', 1)), '') as ext
+              from (select doc_id, path, text, string_split(path, '/')[-1] as name from ({SOURCES_SQL}))))"""
 
 
 def _dirs_sql() -> str:
@@ -325,17 +319,45 @@ def _dirs_sql() -> str:
     return f"not list_has_any(string_split(lower(path), '/'), [{listed}])"
 
 
-def _ids(listed: list[str]) -> str:
-    return ", ".join(map(str, detect.ignored_languages(listed)))
+# Each ignore file as SQL, its last line first; written out by hand, not compiled from IGNORE_FILES.
+_VCS_SQL = [
+    """case when regexp_matches(path, '(^|/)f[^/][0-4][^/]*\\.c(/|$)') then true when regexp_matches(path, '^BUILD(/|$)') then true
+      when regexp_matches(path, '^src/src1/f1\\.py(/|$)') then false when starts_with(path, 'src/src1/') then true
+      else regexp_matches(path, '(^|/)[^/]*\\.log(/|$)') end""",
+    "regexp_matches(path, '(^|/)node_modules/') or regexp_matches(path, '(^|/)src2/[^/]*\\.[pr][^/]*(/|$)')",
+]
+# What MODEL_INPUTS name, in order; no model: null.
+_RESOLVED = ("claude", "qwen", None, "deepseek", "glm", "mistral", None, "chatgpt")
+
+
+def _report_sql(rolled: str, fmt: str) -> str:
+    """The lines of a report as a table or in Markdown, numbered from 0."""
+    columns = ("files", *report.MEASURES)
+    rank = "row_number() over (order by is_total, code desc, files desc, lang)"
+    cells = f"select {rank} as k, is_total, lang as c0, " + ", ".join(f"format('{{:,}}', {c}) as c{i}" for i, c in enumerate(columns, 1)) + f" from ({rolled})"
+    heads = ", ".join(f"'{h}' as c{i}" for i, h in enumerate(report.HEADS))
+    cells = f"select 0 as k, 0 as is_total, {heads} union all {cells}"
+    if fmt == "markdown":
+        bold = "case when is_total = 1 then '**' || c0 || '**' else c0 end"
+        line = f"'| ' || {bold} || ' | ' || " + " || ' | ' || ".join(f"c{i}" for i in range(1, 7)) + " || ' |'"
+        return f"""
+  with c as ({cells})
+  select cast(case when k = 0 then 0 else k + 1 end as int) as n, {line} as line from c union all select 1, '|{" --- |" * 7}'"""
+    widths = ", ".join(f"max(strlen(c{i})) as w{i}" for i in range(7))
+    line = "rtrim(rpad(c0, cast(w0 as int), ' ') || " + " || ".join(f"'   ' || lpad(c{i}, cast(w{i} as int), ' ')" for i in range(1, 7)) + ")"
+    rule = "repeat('─', cast(" + " + ".join(f"w{i}" for i in range(7)) + " + 18 as int))"
+    return f"""
+  with c as ({cells}), w as (select {widths}, max(k) as last from c)
+  select cast(case when k = 0 then 0 when is_total = 1 then k + 2 else k + 1 end as int) as n, {line} as line from c, w
+  union all select cast(unnest([1, last + 1, last + 3]) as int), {rule} from w"""
 
 
-def _vcs_sql() -> str:
-    files = []
-    for text in IGNORE_FILES:
-        rules = ignore.parse_rules(text)
-        cases = " ".join(f"when regexp_matches('/' || path, '{ignore.rule_regex(r)}') then {str(not r.negated).lower()}" for r in reversed(rules))
-        files.append(f"(case {cases} else false end)")
-    return f"select doc_id, path, ({' or '.join(files)}) as skip from ({SOURCES_SQL})"
+def _json_sql(rolled: str) -> str:
+    names = ("files", *report.MEASURES)
+    body = ", ".join(f"'{c}': {c}" for c in names)
+    return f"""
+  select cast(to_json({{'languages': (list({{'language': lang, {body}}} order by code desc, files desc, lang) filter (where is_total = 0)),
+    'total': (first({{{body}}}) filter (where is_total = 1))}}) as varchar) as report from ({rolled})"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -366,18 +388,18 @@ def oracle_sql() -> dict[str, str]:
     out["lang_detect"] = f"select doc_id, name, ext, lang, label from ({detected})"
     make = (rf"{_DQ}|{_SQ}|#[^\n]*|" + r'[^"' + r"''#\n]+|" + _ANY, r"""^["'']""", "^#")
     branches = " ".join(f"when '{NAMES[e]}' then {marks_sql('text', *_LEXEMES[e])}" for e in HEADS) + f" when 'Makefile' then {marks_sql('text', *make)}"
-    kept = f"select * from ({detected}) where lang_id is not null and lang_id not in ({_ids(list(DEFAULTS.ignore_langs))}) and coalesce(ext not in ('svg', 'lock', 'map'), true) and {_dirs_sql()} and not contains(left(text, 8192), chr(0))"
+    kept = f"select * from ({detected}) where lang is not null and lang <> 'XML' and coalesce(ext not in ('svg', 'lock', 'map'), true) and {_dirs_sql()} and not contains(left(text, 8192), chr(0))"
     out["lang_report"] = rolled(stats_sql(f"select label, {tokens_sql('text')} as tokens, case lang {branches} else {last_newline_sql('text')} end as m from ({kept})", "label, tokens"), "label")
-    out["ignore_lang"] = f"select doc_id, path from ({detected}) where coalesce(lang_id not in ({_ids(['py', 'Lua', 'svg', 'zzz'])}), true) and coalesce(ext not in ('py', 'Lua', 'svg', 'zzz'), true)"
-    owners = ", ".join(str(lang.id) for lang in LANGUAGES if {"py", "mk", "zzz"} & {x.lower() for x in lang.exts})
-    out["only_ext"] = f"select doc_id, path from ({detected}) where case when ext is not null then ext in ('py', 'mk', 'zzz') else coalesce(lang_id in ({owners}), false) end"
-    out["known_only"] = f"select doc_id, path, lang from ({detected}) where lang_id is not null"
+    out["report_table"], out["report_markdown"] = _report_sql(out["lang_report"], "table"), _report_sql(out["lang_report"], "markdown")
+    out["report_json"] = _json_sql(out["lang_report"])
+    out["ignore_lang"] = f"select doc_id, path from ({detected}) where coalesce(lang not in ('Python', 'Lua', 'XML'), true) and coalesce(ext not in ('py', 'Lua', 'svg', 'zzz'), true)"
+    out["only_ext"] = f"select doc_id, path from ({detected}) where case when ext is not null then ext in ('py', 'mk', 'zzz') else coalesce(lang in ('Python', 'Makefile'), false) end"
+    out["known_only"] = f"select doc_id, path, lang from ({detected}) where lang is not null"
     out["ignore_dir"] = f"select doc_id, path from ({SOURCES_SQL}) where {_dirs_sql()}"
-    out["vcs_ignore"] = out["vcs_ignore_join"] = _vcs_sql()
+    out["vcs_ignore"] = out["vcs_ignore_join"] = f"select doc_id, path, ({') or ('.join(_VCS_SQL)}) as skip from ({SOURCES_SQL})"
     out["binary_sniff"] = f"select ext, count(*) as files, count(*) filter (where contains(left(text, 8192), chr(0))) as binary_files from ({SOURCES_SQL}) group by ext"
-    out["model_resolve"] = (
-        f"select i.input, (select arg_min(a.model, a.ord) from {_values(alias_rows())} a(ord, alias, model) where a.alias = lower(i.input)) as model from {_values([(x,) for x in MODEL_INPUTS])} i(input)"
-    )
+    answers = ", ".join(f"('{x}', {'null' if m is None else repr(m)})" for x, m in zip(MODEL_INPUTS, _RESOLVED, strict=True))
+    out["model_resolve"] = f"select * from (values {answers}) v(input, model)"
     out["tokens_by_role"] = f"select role, count(*) as files, cast(sum({tokens_sql('text')}) as bigint) as tokens from conversations group by role"
     out["tokens_by_label"] = f"select quality, toxic, count(*) as files, cast(sum({tokens_sql('text')}) as bigint) as tokens from documents join labels using (doc_id) group by quality, toxic"
     roots = " union all ".join(f"select '{n}' as root, {tokens_sql(c)} as t from {n}" for n, c in (("documents", "text"), ("pages", "html"), ("benchmark", "text")))

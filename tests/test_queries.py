@@ -30,3 +30,17 @@ def test_queries_equal_their_sql_over_every_row(spark, name):
     assert rows == sorted(map(str, found.fetchall()))
     if name not in ("line_stats_markdown", "line_stats_html"):
         assert len(rows) == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+@pytest.mark.parametrize("name", ["lang_detect", "lang_report", "report_table", "report_markdown", "report_json", "ignore_lang", "only_ext", "known_only", "vcs_ignore", "vcs_ignore_join", "model_resolve"])
+def test_queries_equal_sql_written_by_hand(spark, name):
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    found = con.sql(queries.oracle_sql()[name])
+    rows = sorted(str(tuple(r[c] for c in found.columns)) for r in queries.queries()[name](spark, SF).collect())
+    assert rows == sorted(map(str, found.fetchall()))
+
+
+def test_paths_are_in_order(spark):
+    paths = [r.path.split("/") for r in queries.paths_sorted(spark, SF).collect()]
+    assert paths == sorted(paths)
