@@ -42,89 +42,81 @@ class Language:
     syntax: Syntax
 
 
-STRING_KINDS = {
-    "D": StringSpec('"', '"'),
-    "S": StringSpec("'", "'"),
-    "D3": StringSpec('"""', '"""', True),
-    "S3": StringSpec("'''", "'''", True),
-    "B": StringSpec("`", "`", True, None),
-    "LL": StringSpec("[[", "]]", True, None),
-}
-C_BLOCK = "/* */"
-XML_BLOCK = "<!-- -->"
-
-# Name | aliases | extensions | file names | line comments | line-start comments | blocks (start end, ...) | nestable | strings | raw.
+DOUBLE = StringSpec('"', '"')
+SINGLE = StringSpec("'", "'")
+TRIPLE_DOUBLE = StringSpec('"""', '"""', True)
+TRIPLE_SINGLE = StringSpec("'''", "'''", True)
+BACKQUOTED = StringSpec("`", "`", True, None)
+LONG_BRACKETS = StringSpec("[[", "]]", True, None)
+
+# Name, aliases, extensions, file names, line comments, line-start comments, blocks (start, end), nestable, strings, raw.
 # The order is the priority: the first language that claims a key has it.
 _ROWS = [
-    ("C", "c", "c h", "", "//", "", C_BLOCK, False, "D S", None),
-    ("C++", "cpp cxx cc", "cpp cc cxx c++ hpp hh hxx h++ ipp", "", "//", "", C_BLOCK, False, "D S", "cpp"),
-    ("Assembly", "asm assembly s", "asm s S inc", "", "; #", "@", "", False, "D S", None),
-    ("Java", "java", "java", "", "//", "", C_BLOCK, False, "D S", None),
-    ("Kotlin", "kotlin kt", "kt kts", "", "//", "", C_BLOCK, False, "D", None),
-    ("Scala", "scala sc", "scala sc", "", "//", "", C_BLOCK, True, "D", None),
-    ("D", "d", "d", "", "//", "", "/* */ /+ +/", True, "D S B", None),
-    ("Vim Script", "vim vimscript", "vim", "", "", '"', "", False, "D S", None),
-    ("Bash", "bash sh shell", "sh bash", "bashrc bash_profile profile", "#", "", "", False, "D S", None),
-    ("Zsh", "zsh", "zsh", "zshrc zprofile zlogin zshenv", "#", "", "", False, "D S", None),
-    ("Fish", "fish", "fish", "", "#", "", "", False, "D S", None),
-    ("Perl", "perl pl", "pl pm t", "", "#", "", "", False, "D S", None),
-    ("Python", "python py", "py pyw pyi", "", "#", "", "", False, "D S D3 S3", None),
-    ("🔥Mojo", "mojo 🔥", "mojo 🔥", "", "#", "", "", False, "D S D3 S3", None),
-    ("Tcl", "tcl tk", "tcl tk", "", "#", "", "", False, "D", None),
-    ("Lua", "lua", "lua", "", "--", "", "--[[ ]]", False, "D S LL", None),
-    ("PHP", "php", "php php3 php4 php5 phtml", "", "// #", "", C_BLOCK, False, "D S", None),
-    ("Ruby", "ruby rb", "rb rake gemspec", "Gemfile Rakefile Guardfile", "#", "", "=begin =end", False, "D S", None),
-    ("SQL", "sql", "sql", "", "--", "", C_BLOCK, False, "S D", None),
-    ("JSON", "json", "json jsonc", "", "//", "", C_BLOCK, False, "D", None),
-    ("XML", "xml", "xml xsd xsl xslt svg qrc plist pom", "", "", "", XML_BLOCK, False, "D S", None),
-    ("XHTML", "xhtml", "xhtml", "", "", "", XML_BLOCK, False, "D S", None),
-    ("HTML", "html htm", "html htm", "", "", "", XML_BLOCK, False, "D S", None),
-    ("CSS", "css", "css scss sass less", "", "//", "", C_BLOCK, False, "D S", None),
-    ("JavaScript", "js javascript", "js mjs cjs", "", "//", "", C_BLOCK, False, "D S B", None),
-    ("JSX", "jsx react", "jsx", "", "//", "", C_BLOCK, False, "D S B", None),
-    ("TypeScript", "ts typescript", "ts mts cts", "", "//", "", C_BLOCK, False, "D S B", None),
-    ("TSX", "tsx", "tsx", "", "//", "", C_BLOCK, False, "D S B", None),
-    ("TOML", "toml", "toml", "", "#", "", "", False, "D S", None),
-    ("YAML", "yaml yml", "yaml yml", "", "#", "", "", False, "D S", None),
-    ("INI", "ini cfg conf", "ini cfg conf properties", "", "; #", "", "", False, "D S", None),
-    ("Dockerfile", "dockerfile containerfile", "dockerfile containerfile", "Dockerfile Containerfile", "#", "", "", False, "D S", None),
-    ("Makefile", "make makefile mk", "mk mak", "Makefile makefile GNUmakefile", "#", "", "", False, "D S", None),
-    ("Ninja", "ninja ninja.build", "ninja", "build.ninja rules.ninja toolchain.ninja", "#", "", "", False, "D S", None),
-    ("CMake", "cmake cmakelists", "cmake", "CMakeLists.txt", "#", "", "#[[ ]]", False, "D S", None),
-    ("Markdown", "markdown md", "md markdown mdown", "", "", "", "", False, "", None),
-    ("LaTeX", "latex tex", "tex sty cls bib", "", "%", "", "", False, "", None),
-    ("Texinfo", "texinfo texi", "texi texinfo txi", "", "", "@c @comment", "", False, "", None),
-    ("GCC MD", "gccmd gcc-md gcc_md", "", "", ";;", "", "", False, "D", None),
-    ("Rust", "rust rs", "rs", "", "//", "", C_BLOCK, False, "D", "rust"),
-    ("Go", "go golang", "go", "", "//", "", C_BLOCK, False, "D B", None),
-    ("Swift", "swift", "swift", "", "//", "", C_BLOCK, True, "D", None),
-    ("CUDA", "cuda cu", "cu cuh", "", "//", "", C_BLOCK, False, "D S", None),
-    ("HIP", "hip rocm amd-gpu", "hip", "", "//", "", C_BLOCK, False, "D S", None),
-    ("Metal", "metal msl", "metal", "", "//", "", C_BLOCK, False, "D S", None),
-    ("GLSL", "glsl opengl-shader", "glsl vert frag comp tesc tese geom", "", "//", "", C_BLOCK, False, "D S", None),
-    ("HLSL", "hlsl directx-shader fx", "hlsl fx fxh", "", "//", "", C_BLOCK, False, "D S", None),
-    ("WGSL", "wgsl webgpu-shader", "wgsl", "", "//", "", C_BLOCK, False, "D", None),
-    ("WAT", "wat wast webassembly-text", "wat wast", "", ";;", "", "(; ;)", True, "D", None),
-    ("Verilog", "verilog v", "v", "", "//", "", C_BLOCK, False, "D", None),
-    ("SystemVerilog", "systemverilog sv", "sv svh", "", "//", "", C_BLOCK, False, "D", None),
-    ("VHDL", "vhdl vhd", "vhd vhdl", "", "--", "", "", False, "D S", None),
-    ("TableGen", "tablegen td llvm", "td", "", "//", "", C_BLOCK, False, "D", None),
-]
+    ("C", ("c",), ("c", "h"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("C++", ("cpp", "cxx", "cc"), ("cpp", "cc", "cxx", "c++", "hpp", "hh", "hxx", "h++", "ipp"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), "cpp"),
+    ("Assembly", ("asm", "assembly", "s"), ("asm", "s", "S", "inc"), (), (";", "#"), ("@",), (), False, (DOUBLE, SINGLE), None),
+    ("Java", ("java",), ("java",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("Kotlin", ("kotlin", "kt"), ("kt", "kts"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE,), None),
+    ("Scala", ("scala", "sc"), ("scala", "sc"), (), ("//",), (), (("/*", "*/"),), True, (DOUBLE,), None),
+    ("D", ("d",), ("d",), (), ("//",), (), (("/*", "*/"), ("/+", "+/")), True, (DOUBLE, SINGLE, BACKQUOTED), None),
+    ("Vim Script", ("vim", "vimscript"), ("vim",), (), (), ("\"",), (), False, (DOUBLE, SINGLE), None),
+    ("Bash", ("bash", "sh", "shell"), ("sh", "bash"), ("bashrc", "bash_profile", "profile"), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("Zsh", ("zsh",), ("zsh",), ("zshrc", "zprofile", "zlogin", "zshenv"), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("Fish", ("fish",), ("fish",), (), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("Perl", ("perl", "pl"), ("pl", "pm", "t"), (), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("Python", ("python", "py"), ("py", "pyw", "pyi"), (), ("#",), (), (), False, (DOUBLE, SINGLE, TRIPLE_DOUBLE, TRIPLE_SINGLE), None),
+    ("🔥Mojo", ("mojo", "🔥"), ("mojo", "🔥"), (), ("#",), (), (), False, (DOUBLE, SINGLE, TRIPLE_DOUBLE, TRIPLE_SINGLE), None),
+    ("Tcl", ("tcl", "tk"), ("tcl", "tk"), (), ("#",), (), (), False, (DOUBLE,), None),
+    ("Lua", ("lua",), ("lua",), (), ("--",), (), (("--[[", "]]"),), False, (DOUBLE, SINGLE, LONG_BRACKETS), None),
+    ("PHP", ("php",), ("php", "php3", "php4", "php5", "phtml"), (), ("//", "#"), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("Ruby", ("ruby", "rb"), ("rb", "rake", "gemspec"), ("Gemfile", "Rakefile", "Guardfile"), ("#",), (), (("=begin", "=end"),), False, (DOUBLE, SINGLE), None),
+    ("SQL", ("sql",), ("sql",), (), ("--",), (), (("/*", "*/"),), False, (SINGLE, DOUBLE), None),
+    ("JSON", ("json",), ("json", "jsonc"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE,), None),
+    ("XML", ("xml",), ("xml", "xsd", "xsl", "xslt", "svg", "qrc", "plist", "pom"), (), (), (), (("<!--", "-->"),), False, (DOUBLE, SINGLE), None),
+    ("XHTML", ("xhtml",), ("xhtml",), (), (), (), (("<!--", "-->"),), False, (DOUBLE, SINGLE), None),
+    ("HTML", ("html", "htm"), ("html", "htm"), (), (), (), (("<!--", "-->"),), False, (DOUBLE, SINGLE), None),
+    ("CSS", ("css",), ("css", "scss", "sass", "less"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("JavaScript", ("js", "javascript"), ("js", "mjs", "cjs"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE, BACKQUOTED), None),
+    ("JSX", ("jsx", "react"), ("jsx",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE, BACKQUOTED), None),
+    ("TypeScript", ("ts", "typescript"), ("ts", "mts", "cts"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE, BACKQUOTED), None),
+    ("TSX", ("tsx",), ("tsx",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE, BACKQUOTED), None),
+    ("TOML", ("toml",), ("toml",), (), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("YAML", ("yaml", "yml"), ("yaml", "yml"), (), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("INI", ("ini", "cfg", "conf"), ("ini", "cfg", "conf", "properties"), (), (";", "#"), (), (), False, (DOUBLE, SINGLE), None),
+    ("Dockerfile", ("dockerfile", "containerfile"), ("dockerfile", "containerfile"), ("Dockerfile", "Containerfile"), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("Makefile", ("make", "makefile", "mk"), ("mk", "mak"), ("Makefile", "makefile", "GNUmakefile"), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("Ninja", ("ninja", "ninja.build"), ("ninja",), ("build.ninja", "rules.ninja", "toolchain.ninja"), ("#",), (), (), False, (DOUBLE, SINGLE), None),
+    ("CMake", ("cmake", "cmakelists"), ("cmake",), ("CMakeLists.txt",), ("#",), (), (("#[[", "]]"),), False, (DOUBLE, SINGLE), None),
+    ("Markdown", ("markdown", "md"), ("md", "markdown", "mdown"), (), (), (), (), False, (), None),
+    ("LaTeX", ("latex", "tex"), ("tex", "sty", "cls", "bib"), (), ("%",), (), (), False, (), None),
+    ("Texinfo", ("texinfo", "texi"), ("texi", "texinfo", "txi"), (), (), ("@c", "@comment"), (), False, (), None),
+    ("GCC MD", ("gccmd", "gcc-md", "gcc_md"), (), (), (";;",), (), (), False, (DOUBLE,), None),
+    ("Rust", ("rust", "rs"), ("rs",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE,), "rust"),
+    ("Go", ("go", "golang"), ("go",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, BACKQUOTED), None),
+    ("Swift", ("swift",), ("swift",), (), ("//",), (), (("/*", "*/"),), True, (DOUBLE,), None),
+    ("CUDA", ("cuda", "cu"), ("cu", "cuh"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("HIP", ("hip", "rocm", "amd-gpu"), ("hip",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("Metal", ("metal", "msl"), ("metal",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("GLSL", ("glsl", "opengl-shader"), ("glsl", "vert", "frag", "comp", "tesc", "tese", "geom"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("HLSL", ("hlsl", "directx-shader", "fx"), ("hlsl", "fx", "fxh"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE, SINGLE), None),
+    ("WGSL", ("wgsl", "webgpu-shader"), ("wgsl",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE,), None),
+    ("WAT", ("wat", "wast", "webassembly-text"), ("wat", "wast"), (), (";;",), (), (("(;", ";)"),), True, (DOUBLE,), None),
+    ("Verilog", ("verilog", "v"), ("v",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE,), None),
+    ("SystemVerilog", ("systemverilog", "sv"), ("sv", "svh"), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE,), None),
+    ("VHDL", ("vhdl", "vhd"), ("vhd", "vhdl"), (), ("--",), (), (), False, (DOUBLE, SINGLE), None),
+    ("TableGen", ("tablegen", "td", "llvm"), ("td",), (), ("//",), (), (("/*", "*/"),), False, (DOUBLE,), None),
+]
 
 
 def _language(i: int, row: tuple) -> Language:
     name, aliases, exts, filenames, line, line_start, block, nestable, strings, raw = row
-    marks = block.split()
-    syntax = Syntax(
-        tuple(line.split()), tuple(line_start.split()), tuple(zip(marks[::2], marks[1::2], strict=True)), nestable, tuple(STRING_KINDS[s] for s in strings.split()), raw
-    )
-    return Language(i, name, tuple(aliases.split()), tuple(exts.split()), tuple(filenames.split()), syntax)
+    return Language(i, name, aliases, exts, filenames, Syntax(line, line_start, block, nestable, strings, raw))
 
 
 LANGUAGES: tuple[Language, ...] = tuple(_language(i, row) for i, row in enumerate(_ROWS))
 BY_NAME = {lang.name: lang for lang in LANGUAGES}
 #: For files of no known language: no comments, two kinds of strings.
-GENERIC = Syntax(strings=(STRING_KINDS["D"], STRING_KINDS["S"]))
+GENERIC = Syntax(strings=(DOUBLE, SINGLE))
 GENERIC_ID = -1
 
 

@@ -11,10 +11,11 @@ from pathlib import Path
 from loomtally.functions.models import DEFAULT_MODEL
 
 # What the configuration template ignores.
-IGNORE_DIRS = (
-    "node_modules target .git .hg .svn dist build out coverage __pycache__ .venv venv .idea .vscode .next .nuxt vendor Pods .gradle .terraform .cache "
-    ".mypy_cache .pytest_cache .ruff_cache .tox .nox .dart_tool"
-).split()
+IGNORE_DIRS = [
+    "node_modules", "target", ".git", ".hg", ".svn", "dist", "build", "out", "coverage", "__pycache__", ".venv", "venv", ".idea", ".vscode",
+    ".next", ".nuxt", "vendor", "Pods", ".gradle", ".terraform", ".cache", ".mypy_cache", ".pytest_cache", ".ruff_cache", ".tox", ".nox",
+    ".dart_tool",
+]
 IGNORE_LANGS = ["svg", "lock", "map"]
 CONFIG_VARIABLE = "LOOMTALLY_CONFIG"
 
