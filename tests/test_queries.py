@@ -41,6 +41,27 @@ def test_queries_equal_sql_written_by_hand(spark, name):
     assert rows == sorted(map(str, found.fetchall()))
 
 
+def equal_to_sql_with_late_nuls(spark, tmp_path, name) -> list[tuple]:
+    """Holds a query against its SQL on texts whose NUL comes just before or after 8192 characters; most have it after 8192 bytes. Gives the rows."""
+    rows = []
+    for k, (unit, n) in enumerate((u, n) for u in ("a", "é", "€", "𝄞", "e\u0301", ". é") for n in (8100, 8190, 8191, 8192)):
+        # Eight neighbours have one extension each; every 97th document gets the NUL.
+        rows += [((8 * k + e) * 97 + 5, (unit * n)[:n], "en", f"src{e}", n) for e in range(8)]
+        rows.append((9700 * (k + 1), unit * 20, "en", "src9", 20))
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.sql(queries.oracle_sql()[name])
+    got = [tuple(r[c] for c in found.columns) for r in queries.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, found.fetchall()))
+    return got
+
+
+def test_binary_sniff_counts_characters(spark, tmp_path):
+    got = equal_to_sql_with_late_nuls(spark, tmp_path, "binary_sniff")
+    assert all(0 < binary < files for _, files, binary in got)
+
+
 def test_paths_are_in_order(spark):
     paths = [r.path.split("/") for r in queries.paths_sorted(spark, SF).collect()]
     assert paths == sorted(paths)
