@@ -172,7 +172,7 @@ def lang_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole engine on the synthetic sources: filters, lookups, measures, totals, order."""
     files = _detected(spark, sf_dir)
     keep = detect.extension_included(()) & detect.language_allowed(DEFAULTS.ignore_langs) & detect.directory_allowed(DEFAULTS.ignore_dirs)
-    files = files.where(keep & ~scalars.looks_binary_text(F.col("text")))
+    files = files.where(keep & ~scalars.nul_near_start(F.col("text")))
     ids = [BY_NAME[n].id for n in [*NAMES.values(), "Makefile"]]
     measured = _spread(files.withColumn("tokens", approx_tokens(F.col("text"))), line_stats_mixed(F.col("text"), F.col("lang_id"), ids))
     return report.ordered(report.totals(measured, "label"))

@@ -62,6 +62,12 @@ def test_binary_sniff_counts_characters(spark, tmp_path):
     assert all(0 < binary < files for _, files, binary in got)
 
 
+def test_lang_report_counts_characters(spark, tmp_path):
+    got = equal_to_sql_with_late_nuls(spark, tmp_path, "lang_report")
+    # Unknown and binary files are left out, all others are in.
+    assert got[-1][:2] == ("Total", 1) and got[-1][2] == sum(r[2] for r in got[:-1]) > 0
+
+
 def test_paths_are_in_order(spark):
     paths = [r.path.split("/") for r in queries.paths_sorted(spark, SF).collect()]
     assert paths == sorted(paths)
