@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import json
 
 import duckdb
 import pytest
@@ -68,6 +69,12 @@ def test_lang_report_counts_characters(spark, tmp_path):
     assert got[-1][:2] == ("Total", 1) and got[-1][2] == sum(r[2] for r in got[:-1]) > 0
 
 
+def test_report_json_counts_characters(spark, tmp_path):
+    ((report,),) = equal_to_sql_with_late_nuls(spark, tmp_path, "report_json")
+    read = json.loads(report)
+    assert read["total"]["files"] == sum(r["files"] for r in read["languages"]) > 0
+
+
 def test_paths_are_in_order(spark):
     paths = [r.path.split("/") for r in queries.paths_sorted(spark, SF).collect()]
     assert paths == sorted(paths)
