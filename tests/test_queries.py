@@ -75,6 +75,11 @@ def test_report_json_counts_characters(spark, tmp_path):
     assert read["total"]["files"] == sum(r["files"] for r in read["languages"]) > 0
 
 
+def test_report_markdown_counts_characters(spark, tmp_path):
+    got = equal_to_sql_with_late_nuls(spark, tmp_path, "report_markdown")
+    assert [n for n, _ in got] == list(range(len(got))) and got[-1][1].startswith("| **Total** |")
+
+
 def test_paths_are_in_order(spark):
     paths = [r.path.split("/") for r in queries.paths_sorted(spark, SF).collect()]
     assert paths == sorted(paths)
