@@ -80,6 +80,11 @@ def test_report_markdown_counts_characters(spark, tmp_path):
     assert [n for n, _ in got] == list(range(len(got))) and got[-1][1].startswith("| **Total** |")
 
 
+def test_report_table_counts_characters(spark, tmp_path):
+    got = equal_to_sql_with_late_nuls(spark, tmp_path, "report_table")
+    assert [n for n, _ in got] == list(range(len(got))) and got[-2][1].startswith("Total ")
+
+
 def test_paths_are_in_order(spark):
     paths = [r.path.split("/") for r in queries.paths_sorted(spark, SF).collect()]
     assert paths == sorted(paths)
